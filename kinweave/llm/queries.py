@@ -1,0 +1,41 @@
+"""Queries over the whole tables that apply the operators with their production parameters, and their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from kinweave.llm import sql
+from kinweave.llm.exact_dedup import tree_exact_dedup
+from kinweave.llm.line_dedup import dedup_lines_across_sites
+from kinweave.llm.mixing import mix_sources
+from kinweave.llm.secrets import scan_secrets
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines_across_sites(_table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in (op1_line_dedup, op3_mixing, op4_secrets, op7_exact_dedup)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for k, v in sql.ORACLE.items() if v}
