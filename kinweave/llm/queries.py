@@ -11,6 +11,7 @@ from kinweave.llm.exact_dedup import tree_exact_dedup
 from kinweave.llm.line_dedup import dedup_lines_across_sites
 from kinweave.llm.mixing import mix_sources
 from kinweave.llm.secrets import scan_secrets
+from kinweave.llm.token_store import tokenize_to_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +34,14 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op10_token_store(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
+    import public_tokenizers
+
+    return tokenize_to_files(_table(spark, sf_dir, "documents"), public_tokenizers.path(tokenizer))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_mixing, op4_secrets, op7_exact_dedup)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_mixing, op4_secrets, op7_exact_dedup, op10_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
