@@ -10,6 +10,7 @@ from kinweave.llm import sql
 from kinweave.llm.exact_dedup import tree_exact_dedup
 from kinweave.llm.line_dedup import dedup_lines_across_sites
 from kinweave.llm.mixing import mix_sources
+from kinweave.llm.near_dedup import near_duplicates
 from kinweave.llm.secrets import scan_secrets
 from kinweave.llm.token_store import tokenize_to_files
 
@@ -34,6 +35,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
     import public_tokenizers
 
@@ -41,7 +46,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bp
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_mixing, op4_secrets, op7_exact_dedup, op10_token_store)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_mixing, op4_secrets, op7_exact_dedup, op8_near_dedup, op10_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
