@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinweave.llm import sql
 from kinweave.llm.exact_dedup import tree_exact_dedup
+from kinweave.llm.language import fit_language, identify_languages
 from kinweave.llm.line_dedup import dedup_lines_across_sites
 from kinweave.llm.mixing import mix_sources
 from kinweave.llm.near_dedup import near_duplicates
+from kinweave.llm.quality import classify_quality
 from kinweave.llm.secrets import scan_secrets
 from kinweave.llm.token_store import tokenize_to_files
 
@@ -31,6 +33,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -39,6 +45,11 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return identify_languages(docs, fit_language(docs))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
     import public_tokenizers
 
@@ -46,7 +57,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bp
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_mixing, op4_secrets, op7_exact_dedup, op8_near_dedup, op10_token_store)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_mixing, op4_secrets, op5_quality, op7_exact_dedup, op8_near_dedup, op9_language, op10_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
