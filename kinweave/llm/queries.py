@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kinweave.llm import sql
+from kinweave.llm.decontamination import find_contamination
 from kinweave.llm.exact_dedup import tree_exact_dedup
 from kinweave.llm.language import fit_language, identify_languages
 from kinweave.llm.line_dedup import dedup_lines_across_sites
@@ -37,6 +38,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -57,7 +62,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bp
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_mixing, op4_secrets, op5_quality, op7_exact_dedup, op8_near_dedup, op9_language, op10_token_store)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_mixing, op4_secrets, op5_quality, op6_decontamination, op7_exact_dedup, op8_near_dedup, op9_language, op10_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -66,15 +66,15 @@ class WordHasher:
         return mix((sums[ends] - sums[starts]) * self.inverse[starts]), starts
 
 
-def text_pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, row offsets) for runs of rows of about _PIECE bytes; nulls are empty."""
+def text_pieces(column: pa.Array, size: int = _PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, row offsets) for runs of rows of about size bytes; nulls are empty."""
     column = column.fill_null("") if column.null_count else column
     wide = pa.types.is_large_string(column.type)
     offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
     row = 0
     while row < len(column):
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + _PIECE, "right")) - 1)
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
 
