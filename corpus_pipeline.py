@@ -1,0 +1,77 @@
+"""A training corpus from the documents table: quality, near duplicates, decontamination, mixing, token files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinweave.llm.common import cut, small_enough, text_or_empty
+from kinweave.llm.decontamination import find_contamination
+from kinweave.llm.mixing import mix_sources
+from kinweave.llm.near_dedup import near_duplicates
+from kinweave.llm.quality import fit_quality, score_quality
+from kinweave.llm.token_store import tokenize_to_files
+
+#: A row of docs by what it holds, for joins back to it: identifiers may be null or repeat.
+_KEY, _COPIES, _SCORE = "__kw_key", "__kw_copies", "__kw_score"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(_KEY, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text_or_empty("text")))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is 0.5 or more."""
+    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_quality(docs, model, out=_SCORE).filter(F.col(_SCORE) >= 0.5).drop(_SCORE)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the least doc_id.
+
+    Documents without words are in no group, and rows without a doc_id all stay; of rows equal in doc_id and text one
+    stays.
+    """
+    keyed = _keyed(docs)
+    found = near_duplicates(keyed.filter("doc_id IS NOT NULL"))
+    gone = cut(found.filter(~F.col("kept")).select(F.xxhash64(F.col("doc_id").cast("string"), "text_hash").alias("gone")).distinct(), "duplicates")
+    keyed = keyed.withColumn("gone", F.xxhash64(F.col("doc_id").cast("string"), F.xxhash64(text_or_empty("text"))))
+    rest = keyed.filter("doc_id IS NOT NULL").join(F.broadcast(gone) if small_enough(gone) else gone, "gone", "left_anti")
+    return rest.dropDuplicates([_KEY]).unionByName(keyed.filter("doc_id IS NULL")).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no item of the benchmark."""
+    keyed = _keyed(docs)
+    found = find_contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=_KEY)
+    gone = cut(found.select(F.col("doc_id").alias(_KEY)).distinct(), "contaminated")
+    return keyed.join(F.broadcast(gone) if small_enough(gone) else gone, _KEY, "left_anti").select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: up to three times, or not at all."""
+    keyed = _keyed(docs)
+    copies = mix_sources(keyed, id_col=_KEY).groupBy(F.col("doc_id").alias(_KEY)).agg(F.sum("copies").alias(_COPIES)).filter(F.col(_COPIES) > 0)
+    taken = keyed.dropDuplicates([_KEY]).join(copies, _KEY)
+    return taken.withColumn(_COPIES, F.explode(F.sequence(F.lit(1), F.col(_COPIES)))).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
+    """Token files in order of doc_id, and what reading them gives for each document."""
+    import public_tokenizers
+
+    return tokenize_to_files(docs, public_tokenizers.path(tokenizer))
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("tokens", tokens)]
+
+#: SQL can express neither the classifier nor the latent retrieval nor the tokenizer.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over the documents table; each one's result is written before the next reads it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

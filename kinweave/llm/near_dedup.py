@@ -61,10 +61,10 @@ def _sketches(docs: DataFrame, size: int, collection: int, depth: int) -> DataFr
                         low = np.minimum.reduceat((members ^ flip[k]) * odd[k], starts)
                         halves[half, full, rest // depth] = mix(halves[half, full, rest // depth] * np.uint64(31) + low)
                 lists = [pa.ListArray.from_arrays(np.arange(0, len(sets) * collection + 1, collection, dtype=np.int32), _signed(h.ravel())) for h in halves]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.array(n), _signed(cid), *lists], ["doc_id", "n", "cid", "us", "vs"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), batch.column(2).slice(row, len(sets)), pa.array(n), _signed(cid), *lists], ["doc_id", "text_hash", "n", "cid", "us", "vs"])
                 row += len(sets)
 
-    return docs.mapInArrow(sketch, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, cid long, us array<long>, vs array<long>")
+    return docs.mapInArrow(sketch, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, n long, cid long, us array<long>, vs array<long>")
 
 
 def _class_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -98,13 +98,13 @@ def near_duplicates(
     costs its size, not its square, and no link between components is lost.
 
     Words are maximal runs of characters other than ASCII white space, A-Z lower-cased. With fewer words than a
-    shingle the whole sequence is one shingle. Returns per input row doc_id, n_shingles, class_id, n_class (documents
+    shingle the whole sequence is one shingle. Returns per input row doc_id, text_hash (xxhash64), n_shingles, class_id, n_class (documents
     in the class), component_id (smallest doc_id reachable), kept (doc_id = component_id). Null, empty and blank texts
     have no shingle: n_shingles 0, their own doc_id as component. Null identifiers are never smallest unless alone.
     Repeated rows are all marked kept if one is. An empty table gives an empty result; other columns are ignored.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    rows = cut(_sketches(texts, shingle, collection, depth), "sketches")
+    rows = cut(_sketches(texts.withColumn("text_hash", F.xxhash64("text")), shingle, collection, depth), "sketches")
     classes = rows.filter("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_class"), F.first("us").alias("us"), F.first("vs").alias("vs"))
     classes = cut(classes, "classes")
     keys = classes.select("cid", F.explode(F.flatten(F.transform("us", lambda u, i: F.transform(F.col("vs"), lambda v, j: F.xxhash64(u, v, i, j))))).alias("key"))
@@ -151,7 +151,7 @@ def near_duplicates(
     own = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "rep", "n_class", F.coalesce("label", "cid").alias("label"))
     least = own.groupBy("label").agg(F.min("rep").alias("component"))
     found = cut(own.join(least, "label").select("cid", "n_class", "component"), "components")
-    return salted_lookup(rows.select("doc_id", "n", "cid"), found, "cid", F.xxhash64("doc_id")).select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), F.coalesce("n_class", F.lit(1)).alias("n_class"),
+    return salted_lookup(rows.select("doc_id", "text_hash", "n", "cid"), found, "cid", F.xxhash64("doc_id")).select(
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), F.coalesce("n_class", F.lit(1)).alias("n_class"),
         F.coalesce("component", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("component", "doc_id")).alias("kept"),
     )

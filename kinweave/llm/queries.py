@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from kinweave.llm import sql
 from kinweave.llm.decontamination import find_contamination
 from kinweave.llm.exact_dedup import tree_exact_dedup
+from kinweave.llm.html_text import extract_html
 from kinweave.llm.language import fit_language, identify_languages
 from kinweave.llm.line_dedup import dedup_lines_across_sites
 from kinweave.llm.mixing import mix_sources
@@ -26,6 +28,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines_across_sites(_table(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_html(_table(spark, sf_dir, "pages"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -61,8 +67,18 @@ def op10_token_store(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bp
     return tokenize_to_files(_table(spark, sf_dir, "documents"), public_tokenizers.path(tokenizer))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+_ALL = [
+    op1_line_dedup, op2_html_text, op3_mixing, op4_secrets, op5_quality, op6_decontamination, op7_exact_dedup, op8_near_dedup, op9_language,
+    op10_token_store, pipeline,
+]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_mixing, op4_secrets, op5_quality, op6_decontamination, op7_exact_dedup, op8_near_dedup, op9_language, op10_token_store)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
