@@ -27,7 +27,10 @@ _DOC_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 _CHUNK = re.compile(r"\s?\S+|\s+(?!\S)|\s")
 #: Characters that Python's \s takes for white space and the tokenizer does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
-_MAX_CACHED, _LONGEST_CACHED = 400_000, 64
+#: Within Latin text: the borders inside a chunk (fixed values of byte-level BPE: contractions, letters, numbers, others).
+_LATIN = "\u024f"
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+| ?[0-9²³¹¼½¾]+| ?[^\sA-Za-zªµºÀ-ÖØ-öø-ɏ0-9²³¹¼½¾]+|\s+(?!\S)|\s+")
+_MAX_CACHED, _LONGEST_CACHED = 300_000, 64
 
 
 def id_width(vocabulary: int) -> int:
@@ -85,21 +88,47 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.model = self.tokenizer.model
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         pre = type(self.tokenizer.pre_tokenizer).__name__
         self.by_chunk = self.tokenizer.normalizer is None and self.tokenizer.post_processor is None and pre == "ByteLevel" and not self.tokenizer.pre_tokenizer.add_prefix_space
+        # Byte-level BPE writes printable bytes as themselves and the rest as characters from U+0100 on, in order.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.bytes = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            written = piece.encode().decode("latin-1").translate(self.bytes)
+            found = self.pieces[piece] = np.array([x.id for x in self.model.tokenize(written)], "<u4").tobytes()
+        return found
+
+    def _learn(self, chunks: list[str]) -> None:
+        other = []
+        for c in chunks:
+            if max(c) <= _LATIN:
+                parts = _PIECE.findall(c)
+                self.known[c] = self._piece(c) if len(parts) == 1 else b"".join(map(self._piece, parts))
+            else:
+                other.append(c)
+        if other:
+            self.known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         whole = [not self.by_chunk or bool(_ODD_SPACE.search(x)) or any(s in x for s in self.special) for x in texts]
         chunks = [None if w else _CHUNK.findall(x) for x, w in zip(texts, whole, strict=True)]
-        new = list({c for x in chunks if x is not None for c in x if c not in self.known})
-        if len(self.known) + len(new) > _MAX_CACHED:
-            self.known.clear()
-            new = list({c for x in chunks if x is not None for c in x})
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
-            self.known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True))
+        if len(self.known) > _MAX_CACHED:
+            self.known, self.older = {}, self.known
+        if len(self.pieces) > _MAX_CACHED:
+            self.pieces = {}
+        missing = {c for x in chunks if x is not None for c in x if c not in self.known}
+        again = missing & self.older.keys()
+        self.known.update((c, self.older[c]) for c in again)
+        new = list(missing - again)
+        self._learn(new)
         known = self.known.__getitem__
         out = [
             np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4") if c is None else np.frombuffer(b"".join(map(known, c)), "<u4")
