@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import BROADCAST_ROWS, cut, salted_lookup, small_enough, text_or_empty, worker_cache
@@ -14,6 +16,9 @@ from kinweave.llm.graph import connected_components
 from kinweave.llm.shingles import WordHasher, mix, row_words, shingle_set, text_pieces
 
 
+_BITS = 2048
+
+
 def _hasher() -> WordHasher:
     cache = worker_cache()
     if not hasattr(cache, "hasher"):
@@ -80,6 +85,57 @@ def _class_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(sets_of, "cid long, members array<long>")
 
 
+def _bits(sets: DataFrame) -> DataFrame:
+    """cid and _BITS bits, one of each of as many minhashes: two sets agree in (1 + similarity) / 2 of them."""
+    rng = np.random.default_rng(16)
+    odd = rng.integers(0, 2**63, (_BITS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    flip = rng.integers(0, 2**63, (_BITS, 1), dtype=np.uint64)
+
+    def bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for members in batch.column(1):
+                own = members.values.to_numpy().view(np.uint64)
+                low = np.full(_BITS, 2**64 - 1, np.uint64)
+                for at in range(0, len(own), 4096):
+                    some = own[None, at : at + 4096]
+                    for k in range(0, _BITS, 64):
+                        np.minimum(low[k : k + 64], ((some ^ flip[k : k + 64]) * odd[k : k + 64]).min(axis=1), out=low[k : k + 64])
+                rows.append(np.packbits((mix(low) & np.uint64(1)).astype(np.uint8)).view(np.int64))
+            flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, _BITS // 64, dtype=np.int32), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["cid", "bits"])
+
+    return sets.select("cid", "members").mapInArrow(bits_of, "cid long, bits array<long>")
+
+
+def _cross_pairs(apart: DataFrame, collection: int, percent: int, possible: Column) -> DataFrame:
+    """Pairs (a, b) of different components that share a table key and may be linked, each once.
+
+    Tables of one collection (us) deal out the rows; whether the other collection also has an equal tuple is part of the
+    join condition, as are the bounds on sizes and an estimate from _BITS minhash bits. The estimate's limit is four
+    standard deviations below the similarity sought, so it misses a pair at that similarity with probability 3e-5.
+    Of a bucket, members outside its largest component meet all the others.
+    """
+    share = percent / 100
+    most_different = _BITS * ((1 - share) / 2 + 4 * math.sqrt((1 + share) / 2 * (1 - share) / 2 / _BITS))
+    rows = apart.select("*", F.posexplode("us").alias("i", "u"))
+    parts = rows.groupBy("i", "u", "label").agg(F.count(F.lit(1)).alias("c"))
+    main = parts.groupBy("i", "u").agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("i", "u", F.col("top.label").alias("main"))
+    rows = rows.join(main, ["i", "u"])
+    outside = rows.filter("label <> main").select("i", "u", *[F.col(c).alias(f"{c}2") for c in ("cid", "label", "n", "common", "us", "vs", "bits")])
+    first = ~_any((F.col("us")[k] == F.col("us2")[k]) & (F.lit(k) < F.col("i")) for k in range(collection))
+    second = _any(F.col("vs")[k] == F.col("vs2")[k] for k in range(collection))
+    different = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits2")[k])) for k in range(_BITS // 64)), F.lit(0))
+    once = (F.col("label") == F.col("main")) | (F.col("cid") < F.col("cid2"))
+    met = rows.join(outside, ["i", "u"]).filter((F.col("label") != F.col("label2")) & once & possible & second & first & (different <= most_different))
+    return met.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b"))
+
+
+def _any(conditions: Iterable[Column]) -> Column:
+    return reduce(lambda x, y: x | y, conditions)
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, collection: int = 9, depth: int = 2
 ) -> DataFrame:
@@ -94,8 +150,9 @@ def near_duplicates(
     full sets. A member that no other set contains can't be in an intersection, so a class with too many of those has
     no link and leaves (exact). Then each bucket's members are compared with one hub of the bucket (a star); after
     connected components, members outside a bucket's largest component are compared with all members of other
-    components there, unless sizes or counts of shared members rule a link out (exact). So a bucket of near copies
-    costs its size, not its square, and no link between components is lost.
+    components there, unless sizes, counts of shared members (exact) or a long minhash estimate rule a link out. So
+    a bucket of linked near copies costs its size, not its square, and links between components aren't lost. What
+    stays quadratic is a group of texts that resemble each other without being linked.
 
     Words are maximal runs of characters other than ASCII white space, A-Z lower-cased. With fewer words than a
     shingle the whole sequence is one shingle. Returns per input row doc_id, text_hash (xxhash64), n_shingles, class_id, n_class (documents
@@ -126,7 +183,7 @@ def near_duplicates(
     # |intersection| is at most the smaller number of common members; the union is at least the sizes without that.
     most = F.least(F.col("common"), F.col("common2"), F.col("n"), F.col("n2"))
     possible = most * 100 >= (F.col("n") + F.col("n2") - most) * percent
-    hubs = buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64("cid", "key"), F.col("cid"), F.col("n"), F.col("common"))).alias("hub")).select("key", F.col("hub.cid").alias("cid2"), F.col("hub.n").alias("n2"), F.col("hub.common").alias("common2"))
+    hubs = buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64("cid", F.pmod(F.col("key"), F.lit(3))), F.col("cid"), F.col("n"), F.col("common"))).alias("hub")).select("key", F.col("hub.cid").alias("cid2"), F.col("hub.n").alias("n2"), F.col("hub.common").alias("common2"))
     pair = [F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")]
     stars = buckets.join(hubs, "key").filter(possible & (F.col("cid") != F.col("cid2"))).select(*pair).distinct()
 
@@ -138,19 +195,17 @@ def near_duplicates(
     links = cut(linked(stars), "star-links")
     labels = connected_components(links)
     placed = cut(buckets.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid")), "placed")
-    parts = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    main = parts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", F.col("top.label").alias("main"))
-    mixed = cut(placed.join(main, "key"), "mixed")
-    outside = mixed.filter("label <> main").select("key", F.col("cid").alias("cid2"), F.col("n").alias("n2"), F.col("common").alias("common2"), F.col("label").alias("label2"))
-    # Between two members outside the largest component, each pair once.
-    once = (F.col("label") == F.col("main")) | (F.col("cid") < F.col("cid2"))
-    cross = mixed.join(outside, "key").filter((F.col("label") != F.col("label2")) & possible & once).select(*pair).distinct()
+    several = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+    apart = cut(placed.join(several, "key").select("cid", "label", "n", "common").distinct(), "apart")
+    tuples = classes.select("cid", "us", F.transform("vs", lambda v: v.bitwiseAND(0x7FFFFFFF).cast("int")).alias("vs"))
+    apart = cut(apart.join(_bits(sets.join(apart.select("cid"), "cid", "left_semi")), "cid").join(tuples, "cid"), "apart-bits")
+    cross = _cross_pairs(apart, collection, percent, possible)
     links = links.unionByName(linked(cross))
 
     labels = connected_components(links)
     own = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "rep", "n_class", F.coalesce("label", "cid").alias("label"))
-    least = own.groupBy("label").agg(F.min("rep").alias("component"))
-    found = cut(own.join(least, "label").select("cid", "n_class", "component"), "components")
+    least = cut(own.groupBy("label").agg(F.min("rep").alias("component")), "least")
+    found = cut(salted_lookup(own, least, "label", F.col("cid")).select("cid", "n_class", "component"), "components")
     return salted_lookup(rows.select("doc_id", "text_hash", "n", "cid"), found, "cid", F.xxhash64("doc_id")).select(
         "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), F.coalesce("n_class", F.lit(1)).alias("n_class"),
         F.coalesce("component", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("component", "doc_id")).alias("kept"),
