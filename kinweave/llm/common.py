@@ -47,6 +47,13 @@ def drop_cuts(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def bounded_batches(spark: SparkSession, most: int = 1000) -> None:
+    """At most so many texts reach a Python worker at once; a setting of the session that is lower already stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= most:
+        spark.conf.set(name, most)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

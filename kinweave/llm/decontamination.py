@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import shuffle_parts, text_or_empty, worker_cache
+from kinweave.llm.common import bounded_batches, shuffle_parts, text_or_empty, worker_cache
 from kinweave.llm.shingles import WordHasher, row_words, text_pieces
 
 #: Terms are words hashed to _DIM buckets; the place _DIM stands for a word that repeats one of the four before it.
-_DIM, _RANK, _EXTRA, _PASSAGE = 1 << 13, 40, 8, 48
+_DIM, _RANK, _EXTRA, _PASSAGE = 1 << 13, 32, 8, 48
 #: Widths of the windows of documents; each item is searched at the width nearest its length.
 _WIDTHS = (12, 24, 48, 96)
 _PIECE, _CHUNK, _ROWS = 1 << 17, 20_000, 128
@@ -61,7 +61,7 @@ def fit_latent_space(docs: DataFrame, text_col: str = "text") -> LatentSpace:
     For the counts T (passages by terms) and random signs S every task sums its share of T'(T S) and of the passages
     that contain each term. With D the diagonal of IDF weights, D T'T S is what the TF-IDF Gram matrix does to
     D^-1 S, so a Nystroem step on the driver yields the leading right singular vectors and values; latent coordinates
-    are divided by the singular values, so that frequent words don't outweigh the rest. Partial sums of 8192 x 48
+    are divided by the singular values, so that frequent words don't outweigh the rest. Partial sums of 8192 x 40
     numbers per task are streamed together in two rounds; the driver gets one of them.
     """
     width = _RANK + _EXTRA
@@ -126,24 +126,31 @@ class Item:
     """A benchmark item's words, ready for subsequence checks."""
 
     def __init__(self, item_id, words: np.ndarray, answer: np.ndarray):
-        self.item_id, self.words, self.answer = item_id, words, answer
-        self.distinct = np.unique(words)
+        self.item_id, self.words = item_id, words
+        self.whole, self.answer = self._masks(words), self._masks(answer)
 
     @staticmethod
-    def _masks(words: np.ndarray) -> dict[int, int]:
+    def _masks(words: np.ndarray) -> tuple[int, dict[int, int]]:
         masks: dict[int, int] = {}
         for k, w in enumerate(words.tolist()):
             masks[w] = masks.get(w, 0) | 1 << k
-        return masks
+        return len(words), masks
 
-    def common(self, region: np.ndarray, of: np.ndarray) -> int:
-        """Length of the longest common subsequence of region and of, bit-parallel over `of`."""
-        masks, full = self._masks(of), (1 << len(of)) - 1
-        row = full
-        for w in region[np.isin(region, of)].tolist():
-            hit = row & masks[w]
-            row = (row + hit | row - hit) & full
-        return len(of) - row.bit_count()
+
+def common_words(region: list[int], of: tuple[int, dict[int, int]], least: float) -> int:
+    """Length of the longest common subsequence, bit-parallel over `of`; 0 if it can't reach least.
+
+    It can't be longer than the number of the region's words that `of` has, which is quickly counted.
+    """
+    size, masks = of
+    hits = [masks[w] for w in region if w in masks]
+    if len(hits) < least:
+        return 0
+    row = full = (1 << size) - 1
+    for mask in hits:
+        hit = row & mask
+        row = (row + hit | row - hit) & full
+    return size - row.bit_count()
 
 
 def _width(length: int) -> int:
@@ -183,16 +190,17 @@ def _search(docs: DataFrame, items: list[Item], space: LatentSpace, cosine: floa
         for batch in batches:
             for first, _, data, offsets in text_pieces(batch.column(1), _PIECE):
                 words, at, _ = row_words(_hasher(), data, offsets)
+                plain = words.tolist()
                 best: dict[tuple[int, int], tuple] = {}
                 for row, start, k, cos in hits(words, at):
                     item = items[k]
                     n, width = len(item.words), _width(len(item.words))
                     pad = n // 2 if n <= 1.42 * width else n
                     low, high = max(int(at[row]), start - pad), min(int(at[row + 1]), start + width + pad)
-                    region = words[low:high]
-                    share = item.common(region, item.words) / n
+                    region = plain[low:high]
+                    share = common_words(region, item.whole, paraphrased * n) / n
                     kind = "copy" if share >= copied else None
-                    if kind is None and share >= paraphrased and item.common(region, item.answer) >= answered * len(item.answer):
+                    if kind is None and share >= paraphrased and common_words(region, item.answer, 0) >= answered * item.answer[0]:
                         kind = "paraphrase"
                     if kind and (share, cos) > best.get((row, k), (0.0, 0.0))[:2]:
                         best[row, k] = (share, cos, kind, low - int(at[row]), high - int(at[row]))
@@ -229,6 +237,7 @@ def find_contamination(
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     own = benchmark.select(F.col(item_col).cast("long").alias("item_id"), text_or_empty(item_text_col).alias("text"), (F.col(answer_col) if answer_col else F.lit(None)).cast("string").alias("answer"))
+    bounded_batches(docs.sparkSession)
     space = fit_latent_space(texts, "text")
     hasher = _hasher()
     words = lambda x: hasher.words(np.frombuffer(x.encode(), np.uint8), np.array([0]))[0]

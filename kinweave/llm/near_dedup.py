@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import BROADCAST_ROWS, cut, salted_lookup, small_enough, text_or_empty, worker_cache
+from kinweave.llm.common import BROADCAST_ROWS, bounded_batches, cut, salted_lookup, small_enough, text_or_empty, worker_cache
 from kinweave.llm.graph import connected_components
 from kinweave.llm.shingles import WordHasher, mix, row_words, shingle_set, text_pieces
 
@@ -160,6 +160,7 @@ def near_duplicates(
     have no shingle: n_shingles 0, their own doc_id as component. Null identifiers are never smallest unless alone.
     Repeated rows are all marked kept if one is. An empty table gives an empty result; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = cut(_sketches(texts.withColumn("text_hash", F.xxhash64("text")), shingle, collection, depth), "sketches")
     classes = rows.filter("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_class"), F.first("us").alias("us"), F.first("vs").alias("vs"))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are hashed in pieces of about so many bytes.
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
