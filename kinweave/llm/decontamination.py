@@ -15,9 +15,9 @@ from kinweave.llm.shingles import WordHasher, row_words, text_pieces
 
 #: Terms are words hashed to _DIM buckets; the place _DIM stands for a word that repeats one of the four before it.
 _DIM, _RANK, _EXTRA, _PASSAGE = 1 << 13, 32, 8, 48
-#: Widths of the windows of documents; each item is searched at the width nearest its length.
+#: Widths of the windows of documents, three times a power of two; each item is searched at the width nearest its length.
 _WIDTHS = (12, 24, 48, 96)
-_PIECE, _CHUNK, _ROWS = 1 << 17, 20_000, 128
+_PIECE, _CHUNK, _ROWS, _PASSAGES = 1 << 17, 20_000, 128, 512
 
 
 def _hasher() -> WordHasher:
@@ -36,6 +36,34 @@ def _terms(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return term
 
 
+def _segment_sums(rows: np.ndarray, index: np.ndarray, starts: np.ndarray, most: int = 16) -> np.ndarray:
+    """Sums of rows[index] over the segments that begin at starts (ascending, the first at 0).
+
+    Segments are cut into pieces of up to `most` rows, the k-th rows of all pieces are added at once, and the pieces'
+    sums are summed the same way until each segment is one piece. (Several times as fast as add.reduceat.)
+    """
+    while True:
+        size = np.diff(np.append(starts, len(index)))
+        pieces = -(-size // most)
+        begin = np.cumsum(pieces) - pieces
+        rank = np.arange(pieces.sum()) - np.repeat(begin, pieces)
+        length = np.minimum(most, np.repeat(size, pieces) - most * rank)
+        order = np.argsort((most - length).astype(np.uint8), kind="stable")
+        first = (np.repeat(starts, pieces) + most * rank)[order]
+        longer = np.cumsum(np.bincount(length, minlength=most + 1)[::-1])[::-1]
+        sums = np.take(rows, index[first], axis=0, mode="clip")
+        for k in range(1, most):
+            n = longer[k + 1]
+            if not n:
+                break
+            sums[:n] += np.take(rows, index[first[:n] + k], axis=0, mode="clip")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        if len(order) == len(starts):
+            return np.take(sums, place, axis=0, mode="clip")
+        rows, index, starts = sums, place, begin
+
+
 def _signs() -> np.ndarray:
     """The random test matrix: signs, so that all sums are whole numbers and don't depend on their order."""
     signs = np.random.default_rng(6).integers(0, 2, (_DIM + 1, _RANK + _EXTRA)) * 2.0 - 1
@@ -75,15 +103,18 @@ def fit_latent_space(docs: DataFrame, text_col: str = "text") -> LatentSpace:
                 if not len(words):
                     continue
                 term = _terms(words, at)
-                first = (np.arange(len(words)) - np.repeat(at[:-1], np.diff(at))) % _PASSAGE == 0
-                starts, passage = np.flatnonzero(first), np.cumsum(first) - 1
+                starts = np.flatnonzero((np.arange(len(words)) - np.repeat(at[:-1], np.diff(at))) % _PASSAGE == 0)
                 passages += len(starts)
-                total[:, width] += np.bincount(np.unique(passage * (_DIM + 1) + term) % (_DIM + 1), minlength=_DIM + 1)
-                projected = np.add.reduceat(signs[term], starts)
-                order = np.argsort(term, kind="stable")
-                term = term[order]
-                runs = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
-                total[term[runs], :width] += np.add.reduceat(projected[passage[order]], runs)
+                for k in range(0, len(starts), _PASSAGES):
+                    low, high = starts[k], starts[k + _PASSAGES] if k + _PASSAGES < len(starts) else len(words)
+                    own, here = term[low:high], starts[k : k + _PASSAGES] - low
+                    projected = _segment_sums(signs, own, here)
+                    # By term, then passage: each term's passages follow one another.
+                    pairs = np.sort(own << 32 | np.repeat(np.arange(len(here)), np.diff(np.append(here, len(own)))))
+                    fresh, by_term = np.append(True, pairs[1:] != pairs[:-1]), pairs >> 32
+                    total[:, width] += np.bincount(by_term[fresh], minlength=_DIM + 1)
+                    runs = np.flatnonzero(np.append(True, by_term[1:] != by_term[:-1]))
+                    total[by_term[runs], :width] += _segment_sums(projected, pairs & 0xFFFFFFFF, runs)
         total[_DIM] = 0
         total[_DIM, width] = passages
         yield from _rows({b: total[b * _ROWS : (b + 1) * _ROWS] for b in range(-(-(_DIM + 1) // _ROWS))})
@@ -153,6 +184,35 @@ def common_words(region: list[int], of: tuple[int, dict[int, int]], least: float
     return size - row.bit_count()
 
 
+class WordTable:
+    """Which words which items have, as marks in one table of slots: a mark may be another pair's, none is missing.
+
+    Regions of a text with fewer marked words than an item needs are ruled out for all candidates at once.
+    """
+
+    def __init__(self, items: list[Item]):
+        self.salt = np.random.default_rng(66).integers(0, 2**63, len(items), dtype=np.uint64) * np.uint64(2)
+        bits = max(12, (32 * sum(len(x.words) for x in items)).bit_length())
+        self.shift, self.marks = np.uint64(64 - bits), np.zeros(1 << bits, bool)
+        for x, salt in zip(items, self.salt, strict=True):
+            self.marks[(x.words + salt) >> self.shift] = True
+
+    def at_least(self, words: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Whether words[low:high] may have `least` words of the item; for each candidate. No region is empty."""
+        size = high - low
+        ends, out = np.cumsum(size), []
+        a = 0
+        while a < len(size):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] - size[a] + (1 << 18), "right")))
+            own, before = size[a:b], ends[a:b] - size[a:b]
+            before = before - before[0]
+            at = np.repeat(low[a:b] - before, own) + np.arange(own.sum())
+            marked = self.marks[(words[at] + np.repeat(self.salt[item[a:b]], own)) >> self.shift]
+            out.append(np.add.reduceat(marked, before, dtype=np.int64) >= least[a:b])
+            a = b
+        return np.concatenate([*out, np.zeros(0, bool)])
+
+
 def _width(length: int) -> int:
     return max(w for w in _WIDTHS if w <= max(_WIDTHS[0], length * 1.42))
 
@@ -162,28 +222,43 @@ def _search(docs: DataFrame, items: list[Item], space: LatentSpace, cosine: floa
     for width in _WIDTHS:
         own = [(space.vector(x.words[a : a + width] if len(x.words) > 1.42 * width else x.words), k) for k, x in enumerate(items) if _width(len(x.words)) == width for a in (range(0, len(x.words) - width // 2, width) if len(x.words) > 1.42 * width else [0])]
         if own:
-            queries[width] = (np.array([v for v, _ in own], np.float32).T.copy(), [k for _, k in own])
-    sent = docs.sparkSession.sparkContext.broadcast((items, queries, space.basis))
-
-    def hits(words: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-        """(row, first word, item, cosine) of windows that are near an item, in chunks of words."""
-        _, queries, basis = sent.value
+            queries[width] = (np.array([v for v, _ in own], np.float32).T.copy(), np.array([k for _, k in own]))
+    size = np.array([len(x.words) for x in items])
+    pads = np.array([n // 2 if n <= 1.42 * _width(n) else n for n in size.tolist()], np.int64)
+    sent = docs.sparkSession.sparkContext.broadcast((items, queries, space.basis, WordTable(items), size * paraphrased, pads))
+
+    def hits(words: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+        """(row, first and end word of the region, item, cosine) of windows near an item that may hold it, in chunks of words."""
+        _, queries, basis, table, least, pads = sent.value
         term, row = _terms(words, at), np.repeat(np.arange(len(at) - 1), np.diff(at))
         for low in range(0, len(words), _CHUNK):
-            high = min(len(words), low + _CHUNK + _WIDTHS[-1])
-            sums = np.concatenate([np.zeros((1, basis.shape[1])), np.cumsum(basis[term[low:high]], axis=0, dtype=np.float64)])
-            here = np.arange(low, min(len(words), low + _CHUNK))
-            place, length = here - at[row[here]], at[row[here] + 1] - at[row[here]]
-            for width, (vectors, of) in queries.items():
+            start = np.arange(low, min(len(words), low + _CHUNK + _WIDTHS[-1]))
+            sums, index, place = basis, term[low : start[-1] + 1], start - at[row[start]]
+            for width in _WIDTHS:
+                # A window is three strides; sums over the strides of each width add up to those of the next.
                 stride = width // 3
+                groups = np.flatnonzero(place % stride == 0)
+                groups = groups if len(groups) and groups[0] == 0 else np.append(0, groups)
+                sums, place, start = _segment_sums(sums, index, groups), place[groups], start[groups]
+                index = np.arange(len(start))
+                if width not in queries:
+                    continue
+                vectors, of = queries[width]
                 # Windows that lie within their text, the last one or the only one shorter.
-                start = here[(place % stride == 0) & ((place == 0) | (place + width - stride < length))]
-                end = np.minimum(start + width, at[row[start] + 1])
-                window = (sums[end - low] - sums[start - low]).astype(np.float32)
+                own = row[start]
+                here = np.flatnonzero((start < low + _CHUNK) & (place % stride == 0) & ((place == 0) | (place + width - stride < at[own + 1] - at[own])))
+                window = np.take(sums, here, axis=0)
+                for later in (1, 2):
+                    then = np.minimum(here + later, len(start) - 1)
+                    follows = np.flatnonzero((here + later < len(start)) & (own[then] == own[here]))
+                    window[follows] += np.take(sums, then[follows], axis=0)
                 window /= np.linalg.norm(window, axis=1, keepdims=True) + 1e-9
                 near = window @ vectors
-                for i, q in np.argwhere(near >= cosine).tolist():
-                    yield int(row[start[i]]), int(start[i]), of[q], float(near[i, q])
+                i, q = np.nonzero(near >= cosine)
+                first, of_row, item = start[here[i]], own[here[i]], of[q]
+                begin, end = np.maximum(at[of_row], first - pads[item]), np.minimum(at[of_row + 1], first + width + pads[item])
+                may = table.at_least(words, begin, end, item, least[item])
+                yield from zip(of_row[may].tolist(), begin[may].tolist(), end[may].tolist(), item[may].tolist(), near[i[may], q[may]].tolist(), strict=True)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = sent.value[0]
@@ -192,12 +267,9 @@ def _search(docs: DataFrame, items: list[Item], space: LatentSpace, cosine: floa
                 words, at, _ = row_words(_hasher(), data, offsets)
                 plain = words.tolist()
                 best: dict[tuple[int, int], tuple] = {}
-                for row, start, k, cos in hits(words, at):
-                    item = items[k]
-                    n, width = len(item.words), _width(len(item.words))
-                    pad = n // 2 if n <= 1.42 * width else n
-                    low, high = max(int(at[row]), start - pad), min(int(at[row + 1]), start + width + pad)
-                    region = plain[low:high]
+                for row, low, high, k, cos in hits(words, at):
+                    item, region = items[k], plain[low:high]
+                    n = len(item.words)
                     share = common_words(region, item.whole, paraphrased * n) / n
                     kind = "copy" if share >= copied else None
                     if kind is None and share >= paraphrased and common_words(region, item.answer, 0) >= answered * item.answer[0]:
