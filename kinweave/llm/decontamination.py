@@ -291,12 +291,13 @@ def _search(docs: DataFrame, items: list[Item], space: LatentSpace, cosine: floa
 
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None,
-    cosine: float = 0.55, copied: float = 0.8, paraphrased: float = 0.5, answered: float = 0.8, min_words: int = 5, block: int = 5000,
+    cosine: float = 0.2, copied: float = 0.8, paraphrased: float = 0.5, answered: float = 0.8, min_words: int = 5, block: int = 5000,
 ) -> DataFrame:
     """Documents that contain benchmark items; one row per document and item found in it.
 
     Windows of every whole text (a third of their width apart, so one overlaps an item by five sixths) are compared
-    with the items in the latent space. From cosine on, the window and its surroundings are checked word by word: an
+    with the items in the latent space. From cosine on (low, as a passage that keeps a share s of an item's words has a
+    cosine of about s), the window and its surroundings are checked word by word: an
     item whose longest common subsequence with them is the share `copied` of its words is a copy; from `paraphrased`
     on it is a paraphrase if its answer is there too (the share `answered` of it, in order). Without an answer column
     the answer is the last fifth of the item, three words at least. Items are broadcast in blocks of `block`, one
