@@ -21,7 +21,9 @@ _words = lambda s: frozenset(s.split())
 _VOID = _words("area base br col embed hr img input link meta param source track wbr")
 #: Their content is raw text up to the end tag.
 _RAW = _words("script style textarea title xmp iframe noembed noframes noscript plaintext")
-_HIDDEN = _words("head script style title template noscript iframe noembed noframes object video audio canvas svg math datalist map")
+_HIDDEN = _words("head script style title template noscript iframe noembed noframes object video audio canvas datalist map")
+#: Hidden inside svg and math only: what browsers don't display, or not in its place.
+_UNSEEN = _words("defs metadata desc annotation annotation-xml symbol clippath mask pattern marker")
 _HEAD = _words("base basefont bgsound head html link meta noframes noscript script style template title")
 #: Blocks with a blank line around them, and blocks that only start and end a line.
 _SPACED = _words("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure menu dir xmp hr fieldset listing")
@@ -153,6 +155,9 @@ class _Page:
         elif name == "input" and attrs.get("type", "").lower() in ("submit", "button", "reset") and attrs.get("value"):
             self.text(" " + attrs["value"] + " ")
         elif name not in _VOID:
+            if name == "text" and self.counts["svg"]:
+                # Labels stand apart.
+                self._text(" ")
             self._push(name, attrs)
 
     def end(self, name: str) -> None:
@@ -166,7 +171,7 @@ class _Page:
             self._end_in_scope("p")
         elif name in _HEADINGS:
             self._end_in_scope(*_HEADINGS)
-        elif name in _BLOCK or name in _TABLE_PARTS or name in ("td", "th", "head", "select", "button", "template"):
+        elif name in _BLOCK or name in _TABLE_PARTS or name in ("td", "th", "head", "select", "button", "template", "svg", "math"):
             stop = _words("table") if name in ("tr", "td", "th", "thead", "tbody", "tfoot", "caption") else frozenset() if name in ("table", "template", "head") else _SCOPE - {name}
             for k in range(len(self.open) - 1, 0, -1):
                 if self.open[k].name == name:
@@ -186,6 +191,9 @@ class _Page:
                 if self.open[k].name in ("td", "th", "table", "caption"):
                     return
 
+    def _foreign(self) -> bool:
+        return bool(self.counts["svg"] or self.counts["math"])
+
     def _leave_head(self) -> None:
         if len(self.open) > 1 and self.open[1].name == "head":
             while len(self.open) > 1:
@@ -217,7 +225,7 @@ class _Page:
     # -- layout -------------------------------------------------------------------------------------------------
     def _push(self, name: str, attrs: dict[str, str]) -> None:
         hides = (
-            name in _HIDDEN or "hidden" in attrs and attrs["hidden"].lower() != "until-found" or bool(_NO_SHOW.search(attrs.get("style", "")))
+            name in _HIDDEN or self._foreign() and (name in _UNSEEN or attrs.get("display") == "none" or attrs.get("visibility") in ("hidden", "collapse")) or "hidden" in attrs and attrs["hidden"].lower() != "until-found" or bool(_NO_SHOW.search(attrs.get("style", "")))
             or name == "dialog" and "open" not in attrs or bool(self.open[-1].name == "details" and self.open[-1].count and name != "summary")
         )
         own = _Open(name, hides)
@@ -380,6 +388,9 @@ def visible_text(page: str | None) -> str:
         if m[1]:
             tree.end(name)
             continue
+        if m[3].endswith("/") and name not in _VOID and (name in ("svg", "math") or tree._foreign() and not tree.counts["foreignobject"]):
+            # An empty element: only svg and math have such.
+            continue
         tree.start(name, _attributes(m[3]) if m[3] and m[3].strip() else {})
         if name in _RAW:
             stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at) if name != "plaintext" else None
@@ -395,8 +406,8 @@ def extract_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     """Visible text of every whole page; one row per input row: page_id, text, n_lines (long), n_chars (long).
 
     A tree builder closes what HTML leaves open (paragraphs before blocks, list items, table cells and rows, headings,
-    the head) and adds missing rows. Not visible: scripts, styles, templates, the head, embedded media, elements with
-    `hidden` or a style of display:none or visibility:hidden, closed dialogs and details. White space collapses as in
+    the head) and adds missing rows. Not visible: scripts, styles, templates, the head, embedded media (of svg and math
+    only definitions, descriptions and annotations; labels and formulas are text), elements with `hidden` or a style of display:none or visibility:hidden, closed dialogs and details. White space collapses as in
     a browser except in pre and textarea; paragraphs, headings, lists and tables stand between blank lines, other
     blocks on lines of their own; list items have markers and indentation, table cells start at the same column.
     Null and empty pages give '' with 0 lines. Repeated rows each get a result; an empty table gives an empty result;
