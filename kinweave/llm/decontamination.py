@@ -16,7 +16,7 @@ from kinweave.llm.shingles import WordHasher, row_words, text_pieces
 #: Terms are words hashed to _DIM buckets; the place _DIM stands for a word that repeats one of the four before it.
 _DIM, _RANK, _EXTRA, _PASSAGE = 1 << 13, 32, 8, 48
 #: Widths of the windows of documents, three times a power of two; each item is searched at the width nearest its length.
-_WIDTHS = (12, 24, 48, 96)
+_WIDTHS = (6, 12, 24, 48, 96)
 _PIECE, _CHUNK, _ROWS, _PASSAGES = 1 << 17, 20_000, 128, 512
 
 
@@ -235,6 +235,8 @@ def _search(docs: DataFrame, items: list[Item], space: LatentSpace, cosine: floa
             start = np.arange(low, min(len(words), low + _CHUNK + _WIDTHS[-1]))
             sums, index, place = basis, term[low : start[-1] + 1], start - at[row[start]]
             for width in _WIDTHS:
+                if width < min(queries, default=0):
+                    continue
                 # A window is three strides; sums over the strides of each width add up to those of the next.
                 stride = width // 3
                 groups = np.flatnonzero(place % stride == 0)

@@ -71,3 +71,11 @@ def test_recall_of_planted_paraphrases(spark, texts, items):
         cases = [x for x, s in want.items() if s == share]
         recall = sum(x in got for x in cases) / len(cases)
         assert len(cases) >= 30 and recall >= 0.9, (share, recall, len(cases))
+
+
+def test_exact_copies_of_short_items_are_all_found(spark, texts, items):
+    rng = random.Random(6)
+    short = [(100 * item_id + n, " ".join(text.split()[:n])) for item_id, text in items for n in range(5, 11)]
+    docs = [planted(rng, texts, text.split()) for _, text in short]
+    got = found(spark, texts, docs, short)
+    assert [x for k, x in enumerate(short) if (k, x[0]) not in got] == []
