@@ -70,7 +70,7 @@ def key_weights(s1_keys: DataFrame, s1: DataFrame, max_df: int) -> DataFrame:
     return frequency.join(sizes, "country_n").select("country_n", "kind", "key", F.ln(1 + F.col("n") / F.col("df")).alias("w"))
 
 
-def candidates(records: DataFrame, top_k: int = 10, max_df: int = 30, keys: DataFrame | None = None) -> DataFrame:
+def candidates(records: DataFrame, top_k: int = 10, max_df: int = 300, keys: DataFrame | None = None) -> DataFrame:
     """t_id, s1_id, bscore, nkeys, brank, k_<kind>: for each target the top_k S1 records by the weights of shared keys.
 
     The join meets at most max_df S1 records per key, so its output is bounded by targets * keys * max_df. Weights are

@@ -17,6 +17,8 @@ from kinweave.sources import fixtures, tsv
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _T = 0.3
+#: What the SQL of oracle.py has; the operators' default is 300.
+_MAX_DF = 30
 
 
 def _query(f: Query) -> Query:
@@ -35,7 +37,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cands(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     records = _records(spark, sf_dir)
-    return records, blocking.candidates(records).persist()
+    return records, blocking.candidates(records, max_df=_MAX_DF).persist()
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -150,7 +152,7 @@ def keys_by_kind(spark, sf_dir):
 @_query
 def key_idf(spark, sf_dir):
     s1, keys = _s1_keys(spark, sf_dir)
-    return _rounded(blocking.key_weights(keys, s1, 30))
+    return _rounded(blocking.key_weights(keys, s1, _MAX_DF))
 
 
 @_query
@@ -385,7 +387,7 @@ def near_duplicate_documents(spark, sf_dir):
     rows = docs.select(F.concat(F.lit("D"), F.col("doc_id")).alias("entity_id"), F.col("lang").alias("country_n"), F.when(F.col("doc_id") % 2 == 0, 1).otherwise(2).alias("src"), "text")
     lines = F.array_distinct(F.filter(F.transform(F.split(F.lower("text"), "\n"), F.trim), lambda x: F.char_length(x) >= 20))
     keys = rows.select("entity_id", "country_n", F.lit("n").alias("kind"), F.explode(lines).alias("key"))
-    return _rounded(blocking.candidates(rows.drop("text"), keys=keys).filter("brank = 0").select("t_id", "s1_id", "bscore", "nkeys"))
+    return _rounded(blocking.candidates(rows.drop("text"), max_df=_MAX_DF, keys=keys).filter("brank = 0").select("t_id", "s1_id", "bscore", "nkeys"))
 
 
 _QUERIES["hash_sample"] = _QUERIES.pop("hash_sampled")

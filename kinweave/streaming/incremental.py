@@ -9,7 +9,7 @@ from kinweave.operators import blocking
 from kinweave.operators.records import normalize_records
 
 
-def link_stream(targets: DataFrame, s1: DataFrame, out: str, checkpoint: str, top_k: int = 10, max_df: int = 30) -> StreamingQuery:
+def link_stream(targets: DataFrame, s1: DataFrame, out: str, checkpoint: str, top_k: int = 10, max_df: int = 300) -> StreamingQuery:
     """Append candidates of streamed raw targets (entity_id, business_name, business_address, country, src) to out.
 
     s1: normalised S1 records. Address word frequencies are those of S1 and the batch. Each batch overwrites its own
