@@ -103,11 +103,13 @@ def fit_language(
 
     Document frequencies count all of those rows, in one vector per task. The weights are fitted on the (at most)
     max_per_lang rows of each language that have the least hashes, four fifths of them; the rest set the temperature.
-    Only languages among the max_langs most frequent are learned.
+    More than max_langs languages raise a ValueError, so none is left out unnoticed; the driver's memory grows with them.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     texts = texts.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-    langs = sorted(r[0] for r in texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect())
+    langs = sorted(r[0] for r in texts.select("lang").distinct().limit(max_langs + 1).collect())
+    if len(langs) > max_langs:
+        raise ValueError(f"more than max_langs={max_langs} languages; raise max_langs to learn all of them")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, rows = np.zeros(_DIM, np.int64), 0
