@@ -382,7 +382,11 @@ def output_validation(spark, sf_dir):
 
 @_query
 def near_duplicate_documents(spark, sf_dir):
-    """The blocking chain with lines of documents as keys: each odd document's best even one."""
+    """A demonstration of the blocking chain with lines of documents as keys: each odd document's best even one.
+
+    It doesn't find all near duplicates (op8_near_dedup does): documents meet only those of the other parity and the
+    same lang, none without a lang, and lines of more than _MAX_DF even documents are no keys.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select(F.concat(F.lit("D"), F.col("doc_id")).alias("entity_id"), F.col("lang").alias("country_n"), F.when(F.col("doc_id") % 2 == 0, 1).otherwise(2).alias("src"), "text")
     lines = F.array_distinct(F.filter(F.transform(F.split(F.lower("text"), "\n"), F.trim), lambda x: F.char_length(x) >= 20))
