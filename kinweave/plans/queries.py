@@ -316,6 +316,7 @@ def tune_grid(spark, sf_dir):
 
 @_query
 def matcher_scores(spark, sf_dir):
+    """A reduced demonstration of the matcher: few features, 5 rounds, depth 4; linkage.train has the whole chain."""
     records, cands = _cands(spark, sf_dir)
     pairs = _overlapped(spark, sf_dir).drop("tok_t", "tok_s")
     labelled = matcher.label(features.add_context(pairs, "t_id", ("bscore", "n_idf_jac")), fixtures.truth_pairs(spark, sf_dir))
