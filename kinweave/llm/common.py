@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import types
 import uuid
 
@@ -14,13 +15,23 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A table is broadcast only after a count shows at most so many rows.
 BROADCAST_ROWS = 50_000
-_LOCAL_FALLBACK = "file:///tmp/checkpoints/kinweave"
+#: And, if its rows hold arrays, at most so many cells in all (of 8 bytes).
+BROADCAST_CELLS = 2_000_000
 _written: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", "") or _LOCAL_FALLBACK).rstrip("/")
+    """Folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a session in local mode (one machine, as in tests) gets a folder of its own; on a cluster this
+    raises, as each executor would write to its own disk.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", "")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{tempfile.gettempdir()}/kinweave-checkpoints"
+    return found.rstrip("/")
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -39,12 +50,18 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_cuts(spark: SparkSession) -> None:
-    """Delete the tables that cut() wrote; results that still read them can't be used afterwards."""
+def written() -> list[str]:
+    """Paths that cut() and others wrote in this session and that are still there, oldest first."""
+    return list(_written)
+
+
+def drop_cuts(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete what was written, all of it or those paths; results that still read it can't be used afterwards."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for name in written() if paths is None else paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+        _written.remove(name)
 
 
 def bounded_batches(spark: SparkSession, most: int = 1000) -> None:
@@ -58,24 +75,44 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_enough(table: DataFrame, most: int = BROADCAST_ROWS) -> bool:
-    """Whether table has at most `most` rows; reads no more than one row beyond that."""
-    return table.limit(most + 1).count() <= most
+def small_enough(table: DataFrame, most: int = BROADCAST_ROWS, cells: Column | None = None) -> bool:
+    """Whether table has at most `most` rows (reads no more than one beyond that) and BROADCAST_CELLS array cells."""
+    rows, total = table.limit(most + 1).agg(F.count(F.lit(1)), F.sum(F.lit(0) if cells is None else cells)).first()
+    return rows <= most and (total or 0) <= BROADCAST_CELLS
 
 
-def salted_lookup(rows: DataFrame, table: DataFrame, key: str, salt: Column, how: str = "left", salts: int = 64) -> DataFrame:
+def salted_lookup(rows: DataFrame, table: DataFrame, key: str, salt: Column, how: str = "left", salts: int = 64, cells: Column | None = None) -> DataFrame:
     """Join table, unique by key, to rows, however many of the rows share one key.
 
     Only the distinct pairs of key and salt meet the table, so a key that holds a third of all rows meets it
-    `salts` times; the rows then join those pairs and so spread over `salts` tasks. Keys must not be null.
+    `salts` times; the rows then join those pairs and so spread over `salts` tasks. Keys must not be null. cells: how
+    many array cells a row of the table has, if any.
     """
-    if small_enough(table):
+    if small_enough(table, cells=cells):
         return rows.join(F.broadcast(table), key, how)
     rows = rows.withColumn("__kw_salt", F.pmod(salt, F.lit(salts)))
     pairs = rows.select(key, "__kw_salt").distinct().join(table, key)
     return rows.join(pairs, [key, "__kw_salt"], how).drop("__kw_salt")
 
 
+def within_cells(sample: DataFrame, order: list[str], cells: str, most: int) -> DataFrame:
+    """The rows of a sample of bounded size that come first, as far as their cells sum to at most `most`.
+
+    order: columns of whole numbers. Only they and the cells reach the driver.
+    """
+    total, last = 0, None
+    for r in sorted(sample.select(*order, cells).collect()):
+        total += r[-1]
+        if total > most:
+            break
+        last = r[:-1]
+    else:
+        return sample
+    if last is None:
+        return sample.limit(0)
+    return sample.filter(F.struct(*order) <= F.struct(*[F.lit(x).cast("long") for x in last]))
+
+
 def worker_cache() -> types.ModuleType:
     """A place for what a Python worker keeps from one task to the next."""
     name = "_kinweave_worker_cache"

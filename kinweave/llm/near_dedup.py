@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterable, Iterator
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import BROADCAST_ROWS, bounded_batches, cut, salted_lookup, small_enough, text_or_empty, worker_cache
+from kinweave.llm.common import bounded_batches, cut, salted_lookup, small_enough, text_or_empty, worker_cache
 from kinweave.llm.graph import connected_components
 from kinweave.llm.shingles import WordHasher, mix, row_words, shingle_set, text_pieces
 
 
-_BITS = 2048
-
-
 def _hasher() -> WordHasher:
     cache = worker_cache()
     if not hasattr(cache, "hasher"):
@@ -36,16 +31,16 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _class_id(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Size of each set and a 64-bit hash of its members."""
+def _class_id(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size of each set and two independent 64-bit hashes of its members."""
     n = np.array([len(s) for s in sets], np.int64)
     first = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
     second = np.array([mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64) for s in sets], np.uint64)
-    return n, mix(second ^ (first * np.uint64(0x9E3779B97F4A7C15)) + n.astype(np.uint64))
+    return n, mix(first ^ n.astype(np.uint64)), mix(second)
 
 
 def _sketches(docs: DataFrame, size: int, collection: int, depth: int) -> DataFrame:
-    """doc_id, n (set size), cid (hash of the set) and two collections of combined minhashes."""
+    """doc_id, n (set size), cid and check (hashes of the set) and two collections of combined minhashes."""
     count = 2 * collection * depth
     rng = np.random.default_rng(8)
     odd = rng.integers(0, 2**63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -55,7 +50,7 @@ def _sketches(docs: DataFrame, size: int, collection: int, depth: int) -> DataFr
         for batch in batches:
             row = 0
             for sets in _sets(batch.column(1), size):
-                n, cid = _class_id(sets)
+                n, cid, check = _class_id(sets)
                 halves = np.zeros((2, len(sets), collection), np.uint64)
                 full = np.flatnonzero(n)
                 if len(full):
@@ -66,74 +61,100 @@ def _sketches(docs: DataFrame, size: int, collection: int, depth: int) -> DataFr
                         low = np.minimum.reduceat((members ^ flip[k]) * odd[k], starts)
                         halves[half, full, rest // depth] = mix(halves[half, full, rest // depth] * np.uint64(31) + low)
                 lists = [pa.ListArray.from_arrays(np.arange(0, len(sets) * collection + 1, collection, dtype=np.int32), _signed(h.ravel())) for h in halves]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), batch.column(2).slice(row, len(sets)), pa.array(n), _signed(cid), *lists], ["doc_id", "text_hash", "n", "cid", "us", "vs"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), batch.column(2).slice(row, len(sets)), pa.array(n), _signed(cid), _signed(check), *lists], ["doc_id", "text_hash", "n", "cid", "check", "us", "vs"])
                 row += len(sets)
 
-    return docs.mapInArrow(sketch, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, n long, cid long, us array<long>, vs array<long>")
+    return docs.mapInArrow(sketch, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, n long, cid long, check long, us array<long>, vs array<long>")
 
 
 def _class_sets(docs: DataFrame, size: int) -> DataFrame:
-    """cid and the sorted set of each document."""
+    """cid, check and the sorted set of each document."""
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sets in _sets(batch.column(1), size):
-                n, cid = _class_id(sets)
+            for sets in _sets(batch.column(0), size):
+                n, cid, check = _class_id(sets)
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([_signed(cid), pa.ListArray.from_arrays(offsets, _signed(np.concatenate([*sets, np.zeros(0, np.uint64)])))], ["cid", "members"])
+                members = pa.ListArray.from_arrays(offsets, _signed(np.concatenate([*sets, np.zeros(0, np.uint64)])))
+                yield pa.RecordBatch.from_arrays([_signed(cid), _signed(check), members], ["cid", "check", "members"])
 
-    return docs.mapInArrow(sets_of, "cid long, members array<long>")
+    return docs.select("text").mapInArrow(sets_of, "cid long, check long, members array<long>")
 
 
-def _bits(sets: DataFrame) -> DataFrame:
-    """cid and _BITS bits, one of each of as many minhashes: two sets agree in (1 + similarity) / 2 of them."""
-    rng = np.random.default_rng(16)
-    odd = rng.integers(0, 2**63, (_BITS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    flip = rng.integers(0, 2**63, (_BITS, 1), dtype=np.uint64)
+def _clashes(rows: DataFrame) -> DataFrame | None:
+    """The cid that more than one check has, if any: sets that agree in one 64-bit hash alone aren't equal."""
+    found = rows.filter("n > 0").groupBy("cid").agg(F.min("check").alias("low"), F.max("check").alias("high")).filter("low <> high").select("cid", F.lit(True).alias("clashes"))
+    found = cut(found, "clashes")
+    return None if found.isEmpty() else found
 
-    def bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for members in batch.column(1):
-                own = members.values.to_numpy().view(np.uint64)
-                low = np.full(_BITS, 2**64 - 1, np.uint64)
-                for at in range(0, len(own), 4096):
-                    some = own[None, at : at + 4096]
-                    for k in range(0, _BITS, 64):
-                        np.minimum(low[k : k + 64], ((some ^ flip[k : k + 64]) * odd[k : k + 64]).min(axis=1), out=low[k : k + 64])
-                rows.append(np.packbits((mix(low) & np.uint64(1)).astype(np.uint8)).view(np.int64))
-            flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, _BITS // 64, dtype=np.int32), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["cid", "bits"])
-
-    return sets.select("cid", "members").mapInArrow(bits_of, "cid long, bits array<long>")
-
-
-def _cross_pairs(apart: DataFrame, collection: int, percent: int, possible: Column) -> DataFrame:
-    """Pairs (a, b) of different components that share a table key and may be linked, each once.
-
-    Tables of one collection (us) deal out the rows; whether the other collection also has an equal tuple is part of the
-    join condition, as are the bounds on sizes and an estimate from _BITS minhash bits. The estimate's limit is four
-    standard deviations below the similarity sought, so it misses a pair at that similarity with probability 3e-5.
-    Of a bucket, members outside its largest component meet all the others.
-    """
-    share = percent / 100
-    most_different = _BITS * ((1 - share) / 2 + 4 * math.sqrt((1 + share) / 2 * (1 - share) / 2 / _BITS))
-    rows = apart.select("*", F.posexplode("us").alias("i", "u"))
-    parts = rows.groupBy("i", "u", "label").agg(F.count(F.lit(1)).alias("c"))
-    main = parts.groupBy("i", "u").agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("i", "u", F.col("top.label").alias("main"))
-    rows = rows.join(main, ["i", "u"])
-    outside = rows.filter("label <> main").select("i", "u", *[F.col(c).alias(f"{c}2") for c in ("cid", "label", "n", "common", "us", "vs", "bits")])
-    first = ~_any((F.col("us")[k] == F.col("us2")[k]) & (F.lit(k) < F.col("i")) for k in range(collection))
-    second = _any(F.col("vs")[k] == F.col("vs2")[k] for k in range(collection))
-    different = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits2")[k])) for k in range(_BITS // 64)), F.lit(0))
-    once = (F.col("label") == F.col("main")) | (F.col("cid") < F.col("cid2"))
-    met = rows.join(outside, ["i", "u"]).filter((F.col("label") != F.col("label2")) & once & possible & second & first & (different <= most_different))
-    return met.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b"))
+
+def _apart(rows: DataFrame, clash: DataFrame | None) -> DataFrame:
+    """rows with a cid of its own for each pair of cid and check."""
+    if clash is None:
+        return rows
+    return salted_lookup(rows, clash, "cid", F.col("check")).withColumn("cid", F.when(F.col("clashes"), F.xxhash64("cid", "check")).otherwise(F.col("cid"))).drop("clashes")
 
 
-def _any(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda x, y: x | y, conditions)
+def _cross_links(placed: DataFrame, sets: DataFrame, links: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components of classes that share a bucket; all of them, up to connectivity.
+
+    Every bucket's classes belong to the home of its largest component, and a home has a centre: the class of that
+    component with most links. With D(a) the symmetric difference of a's set and the centre's, a and b differ in
+    |D(a)| + |D(b)| - 2 |D(a) & D(b)| members, so they are linked exactly if
+
+        2 |D(a) & D(b)| >= s(a) + s(b),  s(a) = |D(a)| - n(a) (1 - share) / (1 + share).
+
+    The centre has the least s. A class with s(a) + s(centre) <= 0 is linked with the centre, so of two such classes
+    nothing more has to be known; any other pair must have common members in its differences, and how many at least
+    follows from s and the sizes. A prefix filter (the rarest members of each difference, as many as a linked pair
+    can't all miss) therefore finds every linked pair, while texts that only resemble each other through what all of
+    the home has don't meet: their differences are what is rare there.
+    """
+    up, down = 100 + percent, 100 - percent
+    parts = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    main = parts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("labels"), F.sum("c").alias("c"))
+    # A bucket of two has been decided by its star.
+    main = main.filter("labels > 1 AND c > 2").select("key", F.col("top.label").alias("home"))
+    near = cut(placed.join(main, "key").select("home", "cid", "label", "n").distinct(), "near")
+
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("d"))
+    centres = degree.join(labels, "node").groupBy("label").agg(F.max(F.struct("d", "node")).alias("top")).select(F.col("label").alias("home"), F.col("top.node").alias("centre"))
+    centres = near.select("home").distinct().join(centres, "home", "left").select("home", F.coalesce("centre", "home").alias("centre"))
+    centres = cut(centres.join(sets.select(F.col("cid").alias("centre"), F.col("members").alias("middle")), "centre"), "centres")
+    rows = salted_lookup(near.join(sets.select("cid", "members"), "cid"), centres, "home", F.col("cid"), "inner", cells=F.size("middle"))
+    difference = F.concat(F.array_except("members", "middle"), F.array_except("middle", "members"))
+    rows = rows.select("home", "cid", "label", "n", "centre", F.size("middle").cast("long").alias("m"), difference.alias("d")).withColumn("s", F.size("d") * up - F.col("n") * down)
+    rows = cut(rows.withColumn("inner", F.col("s") <= F.col("m") * down), "differences")
+    to_centre = rows.filter(F.col("inner") & (F.col("label") != F.col("home"))).select(F.least("cid", "centre").alias("a"), F.greatest("cid", "centre").alias("b"))
+
+    # Only what differences of two components have can be common to a pair that matters.
+    members = rows.select("home", "cid", "label", F.explode("d").alias("x"))
+    common = members.groupBy("home", "x").agg(F.count(F.lit(1)).alias("f"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("home", "x", "f")
+    kept = members.join(common, ["home", "x"]).groupBy("home", "cid").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("e"))
+    # Of two linked classes at most one is inner, so the other's s is above that limit.
+    by_size = F.ceil(F.size("d") - F.col("n") * (down / percent) - 1e-6)
+    by_other = F.ceil((F.col("s") + F.col("m") * down + 1) / (2 * up) - 1e-9)
+    rows = (
+        rows.withColumn("wide", F.greatest(F.lit(1), by_size)).withColumn("narrow", F.greatest("wide", by_other)).drop("d", "m", "centre")
+        .join(kept, ["home", "cid"])
+        .withColumns({c: F.size("e") + 1 - F.col(c) for c in ("wide", "narrow")}).filter("narrow > 0 OR wide > 0 AND NOT inner")
+    )
+    rows = cut(rows.withColumn("e", F.transform("e", lambda x: x["x"])), "prefixes")
+    reach = F.when(F.col("inner"), F.col("narrow")).otherwise(F.col("wide"))
+    flat = rows.select("home", "cid", "label", "n", "s", "inner", "wide", "narrow", F.size("e").alias("k"), F.posexplode(F.slice("e", F.lit(1), reach.cast("int"))).alias("at", "x"))
+    other = flat.filter("NOT inner").select("home", "x", *[F.col(c).alias(f"{c}2") for c in ("cid", "label", "n", "s", "wide", "narrow", "k", "at")])
+    met = flat.join(other, ["home", "x"]).filter(
+        (F.col("label") != F.col("label2"))
+        & (F.col("at") < F.col("narrow"))
+        & F.when(F.col("inner"), F.col("at2") < F.col("wide2")).otherwise((F.col("at2") < F.col("narrow2")) & (F.col("cid") < F.col("cid2")))
+        & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
+        # From the first common member on, no more than the shorter rest can be common.
+        & (F.least(F.col("k") - F.col("at"), F.col("k2") - F.col("at2")) * (2 * up) >= F.col("s") + F.col("s2"))
+    )
+    pairs = met.select("home", "cid", "cid2").distinct()
+    left, right = rows.select("home", "cid", "s", "e"), rows.select("home", F.col("cid").alias("cid2"), F.col("s").alias("s2"), F.col("e").alias("e2"))
+    linked = pairs.join(left, ["home", "cid"]).join(right, ["home", "cid2"]).filter(F.size(F.array_intersect("e", "e2")) * (2 * up) >= F.col("s") + F.col("s2"))
+    return to_centre.unionByName(linked.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b"))).distinct()
 
 
 def near_duplicates(
@@ -148,11 +169,10 @@ def near_duplicates(
 
     Documents with equal sets are one class, represented once. Classes that share a key with another are checked on
     full sets. A member that no other set contains can't be in an intersection, so a class with too many of those has
-    no link and leaves (exact). Then each bucket's members are compared with one hub of the bucket (a star); after
-    connected components, members outside a bucket's largest component are compared with all members of other
-    components there, unless sizes, counts of shared members (exact) or a long minhash estimate rule a link out. So
-    a bucket of linked near copies costs its size, not its square, and links between components aren't lost. What
-    stays quadratic is a group of texts that resemble each other without being linked.
+    no link and leaves (exact). Then each bucket's members are compared with one hub of the bucket (a star); links
+    between the connected components that this leaves within a bucket are found by _cross_links(), exactly. So a
+    bucket of linked near copies costs its size, not its square, and so do texts that resemble each other through
+    what most of their bucket shares without being linked.
 
     Words are maximal runs of characters other than ASCII white space, A-Z lower-cased. With fewer words than a
     shingle the whole sequence is one shingle. Returns per input row doc_id, text_hash (xxhash64), n_shingles, class_id, n_class (documents
@@ -161,17 +181,28 @@ def near_duplicates(
     Repeated rows are all marked kept if one is. An empty table gives an empty result; other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    rows = cut(_sketches(texts.withColumn("text_hash", F.xxhash64("text")), shingle, collection, depth), "sketches")
-    classes = rows.filter("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_class"), F.first("us").alias("us"), F.first("vs").alias("vs"))
-    classes = cut(classes, "classes")
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    rows = cut(_sketches(texts.select("doc_id", "text", "text_hash"), shingle, collection, depth), "sketches")
+    clash = _clashes(rows)
+    rows = _apart(rows, clash)
+    classes = rows.filter("n > 0").groupBy("cid").agg(
+        F.first("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("r"), F.count(F.lit(1)).alias("n_class"), F.first("us").alias("us"), F.first("vs").alias("vs")
+    )
+    classes = cut(classes.select("cid", "n", F.col("r.doc_id").alias("rep"), "r.text_hash", "n_class", "us", "vs"), "classes")
     keys = classes.select("cid", F.explode(F.flatten(F.transform("us", lambda u, i: F.transform(F.col("vs"), lambda v, j: F.xxhash64(u, v, i, j))))).alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("in_bucket")).filter("in_bucket > 1").select("key")
     buckets = cut(keys.join(shared, "key"), "buckets")
 
-    wanted = cut(buckets.select("cid").distinct().join(classes.select("cid", "rep"), "cid").select(F.col("rep").alias("doc_id")).distinct(), "wanted")
-    chosen = texts.join(F.broadcast(wanted) if small_enough(wanted, BROADCAST_ROWS) else wanted, "doc_id", "left_semi")
-    sets = cut(_class_sets(chosen, shingle).dropDuplicates(["cid"]), "sets")
+    # One text of each class that shares a bucket: by identifier, and of those without one by the hash of the text.
+    wanted = cut(buckets.select("cid").distinct().join(classes.select("cid", F.col("rep").alias("doc_id"), "text_hash"), "cid"), "wanted")
+    known = wanted.filter("doc_id IS NOT NULL").select("doc_id", "text_hash").distinct()
+    nameless = wanted.filter("doc_id IS NULL").select("text_hash").distinct()
+    chosen = texts.filter("doc_id IS NOT NULL").join(F.broadcast(known) if small_enough(known) else known, ["doc_id", "text_hash"], "left_semi").select("text")
+    if not nameless.isEmpty():
+        more = texts.filter("doc_id IS NULL").join(F.broadcast(nameless) if small_enough(nameless) else nameless, "text_hash", "left_semi")
+        chosen = chosen.unionByName(more.dropDuplicates(["text_hash"]).select("text"))
+    sets = _apart(_class_sets(chosen, shingle), clash)
+    sets = cut(sets.join(wanted.select("cid"), "cid", "left_semi").select("cid", "members").dropDuplicates(["cid"]), "sets")
     lone = sets.select("cid", F.explode("members").alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.first("cid").alias("cid")).filter("c = 1").groupBy("cid").agg(F.count(F.lit(1)).alias("alone"))
     able = cut(
         sets.select("cid", F.size("members").cast("long").alias("n")).join(lone, "cid", "left")
@@ -196,12 +227,7 @@ def near_duplicates(
     links = cut(linked(stars), "star-links")
     labels = connected_components(links)
     placed = cut(buckets.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid")), "placed")
-    several = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    apart = cut(placed.join(several, "key").select("cid", "label", "n", "common").distinct(), "apart")
-    tuples = classes.select("cid", "us", F.transform("vs", lambda v: v.bitwiseAND(0x7FFFFFFF).cast("int")).alias("vs"))
-    apart = cut(apart.join(_bits(sets.join(apart.select("cid"), "cid", "left_semi")), "cid").join(tuples, "cid"), "apart-bits")
-    cross = _cross_pairs(apart, collection, percent, possible)
-    links = links.unionByName(linked(cross))
+    links = links.unionByName(cut(_cross_links(placed, sets, links, labels, percent), "cross-links"))
 
     labels = connected_components(links)
     own = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "rep", "n_class", F.coalesce("label", "cid").alias("label"))
