@@ -4,20 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-from kinweave.llm.common import bounded_batches, shuffle_parts, text_or_empty, worker_cache
-from kinweave.llm.shingles import WordHasher, row_words, text_pieces
+from kinweave.llm.common import bounded_batches, cut, shuffle_parts, text_or_empty, worker_cache
+from kinweave.llm.shingles import WordHasher, mix, row_words, text_pieces
 
 #: Terms are words hashed to _DIM buckets; the place _DIM stands for a word that repeats one of the four before it.
 _DIM, _RANK, _EXTRA, _PASSAGE = 1 << 13, 32, 8, 48
 #: Widths of the windows of documents, three times a power of two; each item is searched at the width nearest its length.
 _WIDTHS = (6, 12, 24, 48, 96)
 _PIECE, _CHUNK, _ROWS, _PASSAGES = 1 << 17, 20_000, 128, 512
+#: Words of items are counted by blocks of so many words, for so many items at once.
+_BLOCK, _GROUP = 8, 256
 
 
 def _hasher() -> WordHasher:
@@ -157,7 +164,7 @@ class Item:
     """A benchmark item's words, ready for subsequence checks."""
 
     def __init__(self, item_id, words: np.ndarray, answer: np.ndarray):
-        self.item_id, self.words = item_id, words
+        self.item_id, self.words, self.last = item_id, words, answer
         self.whole, self.answer = self._masks(words), self._masks(answer)
 
     @staticmethod
@@ -171,11 +178,12 @@ class Item:
 def common_words(region: list[int], of: tuple[int, dict[int, int]], least: float) -> int:
     """Length of the longest common subsequence, bit-parallel over `of`; 0 if it can't reach least.
 
-    It can't be longer than the number of the region's words that `of` has, which is quickly counted.
+    It can't be longer than the number of the region's words that `of` has, nor than that of the words of `of` that the
+    region has; both are quickly counted.
     """
     size, masks = of
-    hits = [masks[w] for w in region if w in masks]
-    if len(hits) < least:
+    hits = list(filter(None, map(masks.get, region)))
+    if len(hits) < least or reduce(or_, hits, 0).bit_count() < least:
         return 0
     row = full = (1 << size) - 1
     for mask in hits:
@@ -213,11 +221,90 @@ class WordTable:
         return np.concatenate([*out, np.zeros(0, bool)])
 
 
+class WordCounts:
+    """How many words of each item stand in which stretch of a text, at most: by blocks of _BLOCK words, for _GROUP items at once.
+
+    Each word of the items has a row that marks the items it is in (words whose hashes agree in the bits looked at share
+    theirs, so no mark is missing); rows are added up by block, and sums over blocks are differences of running sums.
+    """
+
+    def __init__(self, items: list[Item]):
+        self.groups = []
+        for first in range(0, len(items), _GROUP):
+            own = items[first : first + _GROUP]
+            bits = max(16, (16 * sum(len(x.words) for x in own)).bit_length())
+            slots = [np.unique(x.words >> np.uint64(64 - bits)).astype(np.int64) for x in own]
+            used, place = np.unique(np.concatenate(slots), return_inverse=True)
+            row = np.zeros(1 << bits, np.int32)
+            row[used] = np.arange(1, len(used) + 1)
+            marks = np.zeros((len(used) + 1, len(own)), np.uint8)
+            marks[place + 1, np.repeat(np.arange(len(own)), [len(x) for x in slots])] = 1
+            self.groups.append((np.uint64(64 - bits), row, marks))
+
+    def sums(self, words: np.ndarray) -> list[np.ndarray]:
+        """For each group: marks in all blocks before the k-th, by item."""
+        words = np.append(words, np.zeros(-len(words) % _BLOCK, np.uint64))
+        out = []
+        for shift, row, marks in self.groups:
+            at = row[words >> shift]
+            block = np.take(marks, at[::_BLOCK], axis=0)
+            for k in range(1, _BLOCK):
+                block += np.take(marks, at[k::_BLOCK], axis=0)
+            out.append(np.zeros((len(block) + 1, marks.shape[1]), np.int32))
+            np.cumsum(block, axis=0, dtype=np.int32, out=out[-1][1:])
+        return out
+
+    @staticmethod
+    def between(sums: list[np.ndarray], low: np.ndarray, high: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """No fewer than the words of each item in words[low:high]."""
+        group, own = np.divmod(item, _GROUP)
+        first, last = low // _BLOCK, -(-high // _BLOCK)
+        if len(sums) == 1:
+            return sums[0][last, own] - sums[0][first, own]
+        out = np.zeros(len(item), np.int32)
+        for g, x in enumerate(sums):
+            here = np.flatnonzero(group == g)
+            out[here] = x[last[here], own[here]] - x[first[here], own[here]]
+        return out
+
+
 def _width(length: int) -> int:
     return max(w for w in _WIDTHS if w <= max(_WIDTHS[0], length * 1.42))
 
 
-def _search(docs: DataFrame, items: list[Item], space: LatentSpace, cosine: float, copied: float, paraphrased: float, answered: float) -> DataFrame:
+class PhraseTable:
+    """Short items, by length: found where their words follow one another exactly."""
+
+    def __init__(self, items: list[Item]):
+        self.items, self.by_length = items, {}
+        for n in sorted({len(x.words) for x in items}):
+            own = np.array([k for k, x in enumerate(items) if len(x.words) == n])
+            keys = self._runs(np.concatenate([items[k].words for k in own]), n)[::n]
+            order = np.argsort(keys, kind="stable")
+            self.by_length[n] = (keys[order], own[order])
+
+    @staticmethod
+    def _runs(words: np.ndarray, n: int) -> np.ndarray:
+        total = np.zeros(max(0, len(words) - n + 1), np.uint64)
+        for k in range(n):
+            total = mix(total + words[k : len(words) - n + 1 + k])
+        return total
+
+    def found(self, words: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(row, first word, item): the first place of each item in each row."""
+        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        for n, (keys, own) in self.by_length.items():
+            runs = self._runs(words, n)
+            low, high = np.searchsorted(keys, runs), np.searchsorted(keys, runs, "right")
+            seen = set()
+            for first in np.flatnonzero((high > low) & (row[: len(runs)] == row[n - 1 :])).tolist():
+                for k in own[low[first] : high[first]].tolist():
+                    if (int(row[first]), k) not in seen and (words[first : first + n] == self.items[k].words).all():
+                        seen.add((int(row[first]), k))
+                        yield int(row[first]), first, k
+
+
+def _search(docs: DataFrame, items: list[Item], short: list[Item], item_type: DataType, space: LatentSpace, cosine: float, copied: float, paraphrased: float, answered: float) -> tuple[DataFrame, Broadcast]:
     queries: dict[int, tuple[np.ndarray, list[int]]] = {}
     for width in _WIDTHS:
         own = [(space.vector(x.words[a : a + width] if len(x.words) > 1.42 * width else x.words), k) for k, x in enumerate(items) if _width(len(x.words)) == width for a in (range(0, len(x.words) - width // 2, width) if len(x.words) > 1.42 * width else [0])]
@@ -225,13 +312,18 @@ def _search(docs: DataFrame, items: list[Item], space: LatentSpace, cosine: floa
             queries[width] = (np.array([v for v, _ in own], np.float32).T.copy(), np.array([k for _, k in own]))
     size = np.array([len(x.words) for x in items])
     pads = np.array([n // 2 if n <= 1.42 * _width(n) else n for n in size.tolist()], np.int64)
-    sent = docs.sparkSession.sparkContext.broadcast((items, queries, space.basis, WordTable(items), size * paraphrased, pads))
+    plain = lambda items: [(x.item_id, x.words, x.last) for x in items]
+    sent = docs.sparkSession.sparkContext.broadcast((plain(items), plain(short), queries, space.basis, size * paraphrased, pads))
+    arrow_type = to_arrow_type(item_type)
 
-    def hits(words: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+    def hits(words: np.ndarray, at: np.ndarray, table: WordTable, counts: WordCounts) -> Iterator[tuple[int, int, int, int, float]]:
         """(row, first and end word of the region, item, cosine) of windows near an item that may hold it, in chunks of words."""
-        _, queries, basis, table, least, pads = sent.value
+        _, _, queries, basis, least, pads = sent.value
         term, row = _terms(words, at), np.repeat(np.arange(len(at) - 1), np.diff(at))
+        widest = int(pads.max())
         for low in range(0, len(words), _CHUNK):
+            edge = max(0, low - widest)
+            sums_of_marks = counts.sums(words[edge : low + _CHUNK + 2 * _WIDTHS[-1] + widest])
             start = np.arange(low, min(len(words), low + _CHUNK + _WIDTHS[-1]))
             sums, index, place = basis, term[low : start[-1] + 1], start - at[row[start]]
             for width in _WIDTHS:
@@ -259,17 +351,21 @@ def _search(docs: DataFrame, items: list[Item], space: LatentSpace, cosine: floa
                 i, q = np.nonzero(near >= cosine)
                 first, of_row, item = start[here[i]], own[here[i]], of[q]
                 begin, end = np.maximum(at[of_row], first - pads[item]), np.minimum(at[of_row + 1], first + width + pads[item])
-                may = table.at_least(words, begin, end, item, least[item])
-                yield from zip(of_row[may].tolist(), begin[may].tolist(), end[may].tolist(), item[may].tolist(), near[i[may], q[may]].tolist(), strict=True)
+                some = np.flatnonzero(counts.between(sums_of_marks, begin - edge, end - edge, item) >= least[item])
+                some = some[table.at_least(words, begin[some], end[some], item[some], least[item[some]])]
+                yield from zip(of_row[some].tolist(), begin[some].tolist(), end[some].tolist(), item[some].tolist(), near[i[some], q[some]].tolist(), strict=True)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = sent.value[0]
+        items, short = ([Item(*x) for x in some] for some in sent.value[:2])
+        table, counts, phrases = WordTable(items), WordCounts(items), PhraseTable(short)
         for batch in batches:
             for first, _, data, offsets in text_pieces(batch.column(1), _PIECE):
                 words, at, _ = row_words(_hasher(), data, offsets)
-                plain = words.tolist()
+                plain = words.tolist() if items else []
                 best: dict[tuple[int, int], tuple] = {}
-                for row, low, high, k, cos in hits(words, at):
+                for row, low, k in phrases.found(words, at):
+                    best[row, len(items) + k] = (1.0, 1.0, "copy", low - int(at[row]), low - int(at[row]) + len(short[k].words))
+                for row, low, high, k, cos in hits(words, at, table, counts) if items else ():
                     item, region = items[k], plain[low:high]
                     n = len(item.words)
                     share = common_words(region, item.whole, paraphrased * n) / n
@@ -282,18 +378,18 @@ def _search(docs: DataFrame, items: list[Item], space: LatentSpace, cosine: floa
                     keys = list(best)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            batch.column(0).take(pa.array([first + row for row, _ in keys])), pa.array([items[k].item_id for _, k in keys], pa.int64()), pa.array([best[x][2] for x in keys], pa.string()),
+                            batch.column(0).take(pa.array([first + row for row, _ in keys])), pa.array([(items[k] if k < len(items) else short[k - len(items)]).item_id for _, k in keys], arrow_type), pa.array([best[x][2] for x in keys], pa.string()),
                             pa.array([best[x][1] for x in keys], pa.float64()), pa.array([best[x][0] for x in keys], pa.float64()), pa.array([best[x][3] for x in keys], pa.int64()), pa.array([best[x][4] for x in keys], pa.int64()),
                         ],
                         ["doc_id", "item_id", "kind", "cosine", "lcs", "first_word", "end_word"],
                     )
 
-    return docs.mapInArrow(search, f"doc_id {dict(docs.dtypes)['doc_id']}, item_id long, kind string, cosine double, lcs double, first_word long, end_word long")
+    return docs.mapInArrow(search, f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {item_type.simpleString()}, kind string, cosine double, lcs double, first_word long, end_word long"), sent
 
 
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None,
-    cosine: float = 0.2, copied: float = 0.8, paraphrased: float = 0.5, answered: float = 0.8, min_words: int = 5, block: int = 5000,
+    cosine: float = 0.2, copied: float = 0.8, paraphrased: float = 0.5, answered: float = 0.8, min_words: int = 1, phrase_words: int = 5, block: int = 5000,
 ) -> DataFrame:
     """Documents that contain benchmark items; one row per document and item found in it.
 
@@ -302,29 +398,35 @@ def find_contamination(
     cosine of about s), the window and its surroundings are checked word by word: an
     item whose longest common subsequence with them is the share `copied` of its words is a copy; from `paraphrased`
     on it is a paraphrase if its answer is there too (the share `answered` of it, in order). Without an answer column
-    the answer is the last fifth of the item, three words at least. Items are broadcast in blocks of `block`, one
+    the answer is the last fifth of the item, three words at least. Items of fewer than phrase_words words are found
+    where exactly their words follow one another (kind copy, cosine 1). Items are broadcast in blocks of `block`, one
     pass over the documents each.
 
     Returns doc_id, item_id, kind, cosine, lcs, first_word, end_word (of the place, in words; end exclusive); the best
-    place for each pair. Words are ASCII-lower-cased. Null and empty texts contain nothing. Items that are null or have
-    fewer than min_words words aren't searched. Repeated rows of either table give repeated results; rows with a null
+    place for each pair. Words are ASCII-lower-cased. Null and empty texts contain nothing. Items that are null, empty or
+    have fewer than min_words words aren't searched. Identifiers of both tables may be of any simple type and keep it. Repeated rows of either table give repeated results; rows with a null
     identifier are searched as well. Empty tables give an empty result. Other columns are ignored.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    own = benchmark.select(F.col(item_col).cast("long").alias("item_id"), text_or_empty(item_text_col).alias("text"), (F.col(answer_col) if answer_col else F.lit(None)).cast("string").alias("answer"))
+    own = benchmark.select(F.col(item_col).alias("item_id"), text_or_empty(item_text_col).alias("text"), (F.col(answer_col) if answer_col else F.lit(None)).cast("string").alias("answer"))
     bounded_batches(docs.sparkSession)
     space = fit_latent_space(texts, "text")
     hasher = _hasher()
     words = lambda x: hasher.words(np.frombuffer(x.encode(), np.uint8), np.array([0]))[0]
     blocks, found = max(1, -(-own.count() // block)), None
     for k in range(blocks):
-        items = []
+        items: list[Item] = []
         for r in own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect():
             own_words = words(r.text)
-            if len(own_words) >= min_words:
+            if len(own_words) >= max(1, min_words):
                 answer = words(r.answer) if r.answer is not None and r.answer.strip() else own_words[-max(3, len(own_words) // 5) :]
                 items.append(Item(r.item_id, own_words, answer))
         items.sort(key=lambda x: (x.item_id is None, x.item_id or 0, x.words.tobytes()))
-        part = _search(texts, items, space, cosine, copied, paraphrased, answered)
+        long, short = ([x for x in items if (len(x.words) >= phrase_words) == whole] for whole in (True, False))
+        part, sent = _search(texts, long, short, own.schema["item_id"].dataType, space, cosine, copied, paraphrased, answered)
+        if blocks > 1:
+            # What one block has found is written before the driver holds the next.
+            part = cut(part, "contaminated")
+            sent.destroy()
         found = part if found is None else found.unionByName(part)
     return found

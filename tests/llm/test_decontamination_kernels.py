@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("pyarrow")
-from kinweave.llm.decontamination import Item, WordTable, _segment_sums
+from kinweave.llm.decontamination import Item, PhraseTable, WordCounts, WordTable, _segment_sums
 
 
 def test_segment_sums_are_those_of_reduceat():
@@ -27,3 +27,33 @@ def test_word_table_rules_out_no_region_that_has_enough():
     exact = np.array([np.isin(words[a : a + 40], items[k].words).sum() >= 10 for a, k in zip(low, item, strict=True)])
     assert got[exact].all() and exact.sum() >= 30 and got.sum() <= exact.sum() + 5
     assert len(table.at_least(words, low[:0], low[:0], item[:0], np.zeros(0))) == 0
+
+
+def test_word_counts_are_never_too_small():
+    rng = np.random.default_rng(3)
+    vocabulary = rng.integers(0, 2**63, 400, dtype=np.uint64) * np.uint64(2)
+    items = [Item(k, own, own[-3:]) for k, own in enumerate(rng.choice(vocabulary, (600, 12)))]
+    words, counts = rng.choice(vocabulary, 1003), WordCounts(items)
+    sums = counts.sums(words)
+    assert len(sums) == 3
+    low = rng.integers(0, 900, 3000)
+    high, item = low + rng.integers(1, 100, 3000), rng.integers(0, 600, 3000)
+    got = counts.between(sums, low, high, item)
+    exact = np.array([np.isin(words[a:b], items[k].words).sum() for a, b, k in zip(low, high, item, strict=True)])
+    assert (got >= exact).all() and (got <= exact + 16).all()
+
+
+def test_phrases_are_found_where_their_words_follow_one_another():
+    rng = np.random.default_rng(4)
+    vocabulary = rng.integers(0, 2**63, 6, dtype=np.uint64) * np.uint64(2)
+    items = [Item(k, own, own) for k, own in enumerate([rng.choice(vocabulary, n) for n in (1, 2, 2, 3, 3, 4, 4)])]
+    words, at = rng.choice(vocabulary, 60), np.array([0, 0, 7, 8, 30, 60])
+    got = set(PhraseTable(items).found(words, at))
+    want = set()
+    for r in range(len(at) - 1):
+        own = words[at[r] : at[r + 1]].tolist()
+        for k, x in enumerate(items):
+            first = next((i for i in range(len(own) - len(x.words) + 1) if own[i : i + len(x.words)] == x.words.tolist()), None)
+            if first is not None:
+                want.add((r, int(at[r]) + first, k))
+    assert got == want and len(got) > 5
