@@ -15,24 +15,24 @@ def _lines(text: Column) -> Column:
 
 
 def dedup_lines_across_sites(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 5, min_words: int = 4, lg_k: int = 10
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 5, min_words: int = 1, lg_k: int = 10
 ) -> DataFrame:
     """Texts without the lines that at least min_sites distinct sites have; one row per input row.
 
-    Each line of min_words words or more is hashed to 128 bits. A HyperLogLog sketch of sites per hash is built in
+    Each line of min_words words or more (any line that isn't blank, by default) is hashed to 128 bits. A HyperLogLog sketch of sites per hash is built in
     the map tasks and merged by the aggregation. Estimates within three standard errors (at least 1) of min_sites are
     settled by exact distinct counts of those lines alone; lines that occur fewer than min_sites times need neither.
     All occurrences of a boilerplate line go, and nothing else changes. A line that a third of all rows have is one
     sketch per map task; look-ups of it are salted.
 
     Returns doc_id, text, n_lines, n_removed (long). Lines are what \\n separates. A null text gives '' with one
-    (empty) line; short and blank lines always stay. Null sites count as one site. Repeated rows each get a result.
+    (empty) line; blank lines always stay, as do those of fewer than min_words words. Null sites count as one site. Repeated rows each get a result.
     An empty table gives an empty result. Other columns are ignored.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), F.coalesce(F.col(site_col).cast("string"), F.lit("\0")).alias("site")).withColumn("check", F.xxhash64("text"))
     lines = (
         base.select("doc_id", "check", "site", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-        .filter(F.col("line").rlike(rf"(?:{WORD}[\x20\x09-\x0D]+){{{max(0, min_words - 1)}}}{WORD}"))
+        .filter(F.col("line").rlike(r"[^\x20\x09-\x0D]") if min_words <= 1 else F.regexp_count("line", F.lit(WORD)) >= min_words)
         .select("doc_id", "check", "site", "pos", F.concat(F.hex(F.xxhash64("line")), F.hex(F.xxhash64(F.lit(1), "line"))).alias("line"))
     )
     counted = (

@@ -52,7 +52,8 @@ def mix_sources(
 ) -> DataFrame:
     """How many words the mix takes of each document; one row per input row.
 
-    Each source queues its documents in shuffled order (MD5 of seed and identifier), up to max_repeats times over.
+    Each source queues its documents in shuffled order (MD5 of seed and identifier, or of the text where that is null),
+    up to max_repeats times over.
     A copy's virtual finish time is the source's words up to and including it, divided by the source's target. All
     copies in order of finish time, then digest, identifier and size, are taken until the total budget (the words of
     all documents) would be exceeded; the last copy that fits ends the mix. The place of the cut is found by
@@ -64,11 +65,11 @@ def mix_sources(
     keys: they take turns in the running sum and fall on either side of the cut. Nothing is dropped: documents
     outside the mix have taken 0. An empty table gives an empty result. Other columns are ignored.
     """
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5("text")))))
     rows = cut(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_or_empty(text_col)).alias("size"))
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_or_empty(text_col)).alias("size"), text_or_empty(text_col).alias("text"))
         .withColumn("sk", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string"))))
-        .withColumn("key", key),
+        .withColumn("key", key).drop("text"),
         "sizes",
     )
     sizes = rows.groupBy("sk").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))

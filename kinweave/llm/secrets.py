@@ -13,7 +13,8 @@ KINDS: dict[str, tuple[str, int, int]] = {
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"[0-9a-f]+", 0, 24),
     "github": (r"gh[opsu]_[A-Za-z0-9]+", 0, 40),
-    "jwt": (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
+    # Only where no letter, digit, _ or - comes before: a long run of those is then tried once, not at each eyJ in it.
+    "jwt": (r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
     "private_key": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
 }
 BASE = 3

@@ -8,7 +8,7 @@ lines AS (
   SELECT doc_id, site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM base
 ),
 spread AS (
-  SELECT line FROM lines WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 4 GROUP BY line HAVING count(DISTINCT site) >= 5
+  SELECT line FROM lines WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 1 GROUP BY line HAVING count(DISTINCT site) >= 5
 ),
 kept AS (
   SELECT doc_id, string_agg(l.line, chr(10) ORDER BY pos) FILTER (WHERE s.line IS NULL) AS text, count(*) AS n_lines,
@@ -21,7 +21,7 @@ SELECT doc_id, coalesce(text, '') AS text, n_lines, n_removed FROM kept
 OP3 = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         md5(concat('7:', coalesce(CAST(doc_id AS VARCHAR), 'null'))) AS key
+         md5(concat('7:', coalesce(CAST(doc_id AS VARCHAR), concat('null:', md5(coalesce(text, '')))))) AS key
   FROM documents
 ),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
@@ -68,14 +68,15 @@ _KINDS = {
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"[0-9a-f]+", 0, 24),
     "github": (r"gh[opsu]_[A-Za-z0-9]+", 0, 40),
-    "jwt": (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
+    # The value is the group; what comes before it (a character that can't be part of it, or none) is no part of the span.
+    "jwt": (r"(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)", 1, 30),
     "private_key": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
 }
 _GATES = {"access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}", "github": "gh[opsu]_[A-Za-z0-9]{36}"}
 _FOUND = "\nUNION ALL\n".join(
     f"""SELECT doc_id, source, {no} AS kind_no, '{kind}' AS kind,
-       list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda m: length(m))), 0) AS start_at,
-       length(found[i]) AS size, vals[i] AS v
+       list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda m: length(m))), 0){" + length(found[i]) - length(vals[i])" if kind == "jwt" else ""} AS start_at,
+       length({"vals" if kind == "jwt" else "found"}[i]) AS size, vals[i] AS v
 FROM (SELECT doc_id, source, string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}', 0) AS found,
              regexp_extract_all(text, '{pattern}', {group}) AS vals, unnest(generate_series(1, len(regexp_extract_all(text, '{pattern}')))) AS i
       FROM base WHERE regexp_matches(text, '{_GATES.get(kind, pattern)}')) WHERE length(vals[i]) >= {least}"""
