@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import text_or_empty, worker_cache
+from kinweave.llm.common import bounded_batches, cut, salted_lookup, small_enough, text_or_empty, within_cells, worker_cache
 from kinweave.llm.quality import held_out
 from kinweave.llm.shingles import mix
 
@@ -96,20 +96,23 @@ def _ftrl(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, a
 
 
 def fit_language(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_per_lang: int = 800, max_langs: int = 200,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_per_lang: int = 800, max_rows: int = 40_000, max_cells: int = 16_000_000,
     alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, epochs: int = 3,
 ) -> LanguageModel:
-    """Learn from rows outside the held-out third whose lang and text are not null.
+    """Learn every lang value from rows outside the held-out third whose lang and text are not null.
 
-    Document frequencies count all of those rows, in one vector per task. The weights are fitted on the (at most)
-    max_per_lang rows of each language that have the least hashes, four fifths of them; the rest set the temperature.
-    More than max_langs languages raise a ValueError, so none is left out unnoticed; the driver's memory grows with them.
+    Document frequencies count all of those rows, in one vector per task. The weights are fitted on a sample of each
+    language: the rows with the least hashes, max_per_lang of them or, with very many languages, an equal share of
+    max_rows (8 at least), and of at most max_cells n-gram counts in all, four fifths of them; the rest set the
+    temperature. Rows that repeat an identifier and language count once, by the text with the least hash. The model
+    holds 2**13 weights a language, and the driver three times as many while it fits them.
     """
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     texts = texts.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-    langs = sorted(r[0] for r in texts.select("lang").distinct().limit(max_langs + 1).collect())
-    if len(langs) > max_langs:
-        raise ValueError(f"more than max_langs={max_langs} languages; raise max_langs to learn all of them")
+    sizes = cut(texts.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "langs")
+    langs = sorted(r[0] for r in sizes.select("lang").collect())
+    most = min(max_per_lang, max(8, max_rows // max(1, len(langs))))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, rows = np.zeros(_DIM, np.int64), 0
@@ -131,20 +134,28 @@ def fit_language(
             df[gram] = n
     idf = np.log((1 + total) / (1 + df)) + 1
 
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id")
-    chosen = texts.filter(F.col("lang").isin(langs)).select("doc_id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= max_per_lang).drop("k")
+    # The window sees a few more rows of each language than it keeps, however many there are.
+    hashed = F.xxhash64(F.lit(9), "doc_id")
+    near = salted_lookup(texts.select("doc_id", "lang"), sizes, "lang", F.xxhash64("doc_id"), "inner")
+    near = near.filter(F.shiftrightunsigned(hashed, 1) / F.lit(2.0**63) * F.col("rows") < 1.25 * most + 64).select("doc_id", "lang").distinct()
+    order = Window.partitionBy("lang").orderBy(hashed, "doc_id")
+    chosen = cut(near.withColumn("k", F.row_number().over(order).cast("long")).filter(F.col("k") <= most), "language-sample")
+    sample = texts.join(F.broadcast(chosen) if small_enough(chosen) else chosen, ["doc_id", "lang"])
+    sample = sample.groupBy("doc_id", "lang", "k").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("k", hashed.alias("h"), "lang", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, lang, _counts(t)) for d, lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            rows = [(d, lang, np.flatnonzero(c).astype(np.int32), c) for d, lang, c in rows if c is not None]
-            yield pa.RecordBatch.from_pydict(
-                {"id": pa.array([str(d) for d, *_ in rows], pa.string()), "lang": pa.array([lang for _, lang, *_ in rows], pa.string()), "i": pa.array([i.tobytes() for *_, i, _ in rows], pa.binary()), "c": pa.array([c[i].astype(np.int32).tobytes() for *_, i, c in rows], pa.binary())}
-            )
-
-    rows = texts.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text").mapInArrow(features, "id string, lang string, i binary, c binary").collect()
-    rows.sort(key=lambda r: (r.id, r.lang, bytes(r.c)))
-    x, y = [], np.array([langs.index(r.lang) for r in rows], np.int64)
+            rows = [(k, h, lang, _counts(t)) for k, h, lang, t in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            rows = [(k, h, lang, np.flatnonzero(c).astype(np.int32), c) for k, h, lang, c in rows if c is not None]
+            columns = {"k": pa.array([r[0] for r in rows], pa.int64()), "h": pa.array([r[1] for r in rows], pa.int64()), "lang": pa.array([r[2] for r in rows], pa.string())}
+            columns |= {"i": pa.array([r[3].tobytes() for r in rows], pa.binary()), "c": pa.array([r[4][r[3]].astype(np.int32).tobytes() for r in rows], pa.binary()), "cells": pa.array([len(r[3]) for r in rows], pa.int64())}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    sample = cut(sample.mapInArrow(features, "k long, h long, lang string, i binary, c binary, cells long"), "language-features")
+    rows = within_cells(sample, ["k", "h"], "cells", max_cells).collect()
+    rows.sort(key=lambda r: (r.h, r.lang, bytes(r.c)))
+    place = {x: k for k, x in enumerate(langs)}
+    x, y = [], np.array([place[r.lang] for r in rows], np.int64)
     for r in rows:
         index, counts = np.frombuffer(r.i, np.int32), np.frombuffer(r.c, np.int32)
         value = np.log1p(counts) * idf[index]
@@ -170,11 +181,11 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
     probabilities go to the language first in order. Repeated rows get equal results; an empty table gives an empty
     result; other columns are ignored.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.idf, model.w, model.temperature))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        own = LanguageModel(*sent.value)
         for batch in batches:
             names, scores = [], []
             for text in batch.column(1):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import text_or_empty, worker_cache
+from kinweave.llm.common import bounded_batches, cut, text_or_empty, within_cells, worker_cache
 from kinweave.llm.shingles import WordHasher, row_words, text_pieces
 
 _WORD_BUCKETS = 1 << 14
@@ -110,36 +110,41 @@ class FactorisationMachine:
         return model
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 4000) -> FactorisationMachine:
-    """Fit on at most max_rows labelled documents outside the held-out third.
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 4000, max_cells: int = 8_000_000) -> FactorisationMachine:
+    """Fit on at most max_rows labelled documents outside the held-out third, of at most max_cells features in all.
 
-    The sample is the labelled rows whose identifiers have the least seeded hashes, all rows if there are no more.
-    Their sparse features, computed on the executors, are all that reaches the driver.
+    The sample is the labelled rows whose identifiers have the least seeded hashes, all rows if there are no more; of
+    rows that repeat an identifier, the one whose text has the least hash. Their sparse features, computed on the
+    executors, are all that reaches the driver.
     """
     chosen = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-    chosen = chosen.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id", "label").limit(max_rows)
-    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    chosen = chosen.distinct().orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id", "label").limit(max_rows)
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select(F.xxhash64(F.lit(5), "doc_id").alias("h"), "label", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(i.tobytes(), x.tobytes()) for i, x in _features(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i for i, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], ["doc_id", "label", "i", "x"])
+            found = [(i.tobytes(), x.tobytes(), len(i)) for i, x in _features(batch.column(2))]
+            columns = [pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary()), pa.array([f[2] for f in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["h", "label", "i", "x", "cells"])
 
-    rows = texts.mapInArrow(features, f"doc_id {dict(texts.dtypes)['doc_id']}, label int, i binary, x binary").limit(2 * max_rows).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.label, bytes(r.i), bytes(r.x)))
+    sample = cut(texts.mapInArrow(features, "h long, label int, i binary, x binary, cells long"), "quality-sample")
+    rows = within_cells(sample, ["h"], "cells", max_cells).collect()
+    rows.sort(key=lambda r: (r.h, r.label, bytes(r.i), bytes(r.x)))
     return FactorisationMachine.fit([(np.frombuffer(r.i, np.int32), np.frombuffer(r.x, np.float32), int(r.label > 0)) for r in rows])
 
 
 def score_quality(docs: DataFrame, model: FactorisationMachine, id_col: str = "doc_id", text_col: str = "text", out: str = "score") -> DataFrame:
     """docs with the model's probability (double) of label 1 in column out, from the text alone."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.w, model.v))
     names = docs.columns
     text = "__kw_text"
     given = docs.withColumn(text, text_or_empty(text_col))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = FactorisationMachine(*sent.value)
         for batch in batches:
-            p = [1 / (1 + np.exp(-np.clip(sent.value.logit(i, x), -30, 30))) for i, x in _features(batch.column(len(names)))]
+            p = [1 / (1 + np.exp(-np.clip(own.logit(i, x), -30, 30))) for i, x in _features(batch.column(len(names)))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(p, pa.float64())], [*names, out])
 
     schema = docs.select(*names).schema.add(out, "double")
@@ -154,6 +159,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     Repeated rows get equal scores. Without labelled rows every score is 0.5; an empty table gives an empty result.
     Other columns, also of labels, are ignored.
     """
+    bounded_batches(docs.sparkSession)
     model = fit_quality(docs, labels, id_col, text_col, label_col, max_rows)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return score_quality(rows, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
