@@ -1,13 +1,13 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-import corpus_pipeline
 from kinweave.llm.decontamination import find_contamination
 from kinweave.llm.exact_dedup import tree_exact_dedup
 from kinweave.llm.html_text import extract_html, visible_text
@@ -44,15 +44,35 @@ def test_exact_dedup(odd, none):
     assert got == {(1, 2, 2, False), (2, 2, 2, True), (3, 4, 2, False), (4, 4, 2, True), (None, None, 1, True), (5, 5, 2, True), (6, 6, 1, True)}
     assert tree_exact_dedup(odd).filter("doc_id = 3").first().text_sha256 == hashlib.sha256(b"").hexdigest()
     assert tree_exact_dedup(none).count() == 0
+    assert tree_exact_dedup(odd.withColumn("doc_id", odd.doc_id.cast("string"))).filter("doc_id = '5' AND group_size = 2").count() == 2
+
+
+def test_exact_dedup_merges_sorted_runs(spark):
+    """Every merge reads its entries in order of node and digest: an exchange by node, a sort, a sort-based aggregation."""
+    rows = table(spark, [(k, f"t{k % 50}", "s") for k in range(400)])
+    found = tree_exact_dedup(rows, fan_in=4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    merges = re.findall(r"SortAggregate\(key=\[node#\d+L?, digest#\d+, chars#\d+L?, check#\d+L?\], functions=\[min\(entry", plan)
+    sorts = re.findall(r"Sort \[node#\d+L? ASC NULLS FIRST, digest#\d+ ASC NULLS FIRST, chars#\d+L? ASC NULLS FIRST, check#\d+L? ASC NULLS FIRST\]", plan)
+    assert len(merges) >= 2 and len(sorts) >= 2 and "HashAggregate" not in plan
+    got = found.collect()
+    assert all(r.keep_id == r.doc_id % 50 and r.group_size == 8 and r.kept == (r.doc_id < 50) for r in got) and len(got) == 400
 
 
 def test_line_dedup(spark, odd, none):
     shared = "one two three four"
-    rows = table(spark, [(k, f"own words of text {k}\n{shared}\nshort", f"s{k}") for k in range(6)])
+    rows = table(spark, [(k, f"own words of text {k}\n{shared}\nshort\n \n", f"s{k}") for k in range(6)])
     got = dedup_lines_across_sites(rows, min_sites=5).orderBy("doc_id").collect()
-    assert all(r.text == f"own words of text {r.doc_id}\nshort" and r.n_removed == 1 and r.n_lines == 3 for r in got)
+    assert all(r.text == f"own words of text {r.doc_id}\n \n" and r.n_removed == 2 and r.n_lines == 5 for r in got)
+    got = dedup_lines_across_sites(rows, min_sites=5, min_words=4).orderBy("doc_id").collect()
+    assert all(r.text == f"own words of text {r.doc_id}\nshort\n \n" and r.n_removed == 1 for r in got)
     assert dedup_lines_across_sites(rows, min_sites=7).filter("n_removed > 0").count() == 0
     assert dedup_lines_across_sites(odd).count() == 8 and dedup_lines_across_sites(none).count() == 0
+    # A line of a million characters without blanks takes no longer than others of its length.
+    began = time.time()
+    assert dedup_lines_across_sites(table(spark, [(k, "x" * 1_000_000, f"s{k}") for k in range(6)]), min_words=4).filter("n_removed = 0").count() == 6
+    assert dedup_lines_across_sites(table(spark, [(k, "x" * 1_000_000, f"s{k}") for k in range(6)])).filter("n_removed = 1").count() == 6
+    assert time.time() - began < 60
 
 
 def test_mixing(spark, odd, none):
@@ -77,6 +97,10 @@ def test_secrets(spark, odd, none):
     many = scan_secrets(table(spark, [(1, " ".join([hexa] * 1000), "s")])).first()
     assert many.n_hex == 1000 and many.spans.endswith(f"hex:{999 * 33}:{999 * 33 + 32}")
     assert scan_secrets(odd).count() == 8 and scan_secrets(none).count() == 0
+    began = time.time()
+    token = "eyJhbGciOi.eyJzdWIiOiIxMjM0NTY3ODkwIn0.c2ln"
+    got = scan_secrets(table(spark, [(1, "eyJa" * 100_000, "s"), (2, f"x {token} -{token}\n{token}", "s")])).orderBy("doc_id").collect()
+    assert got[0].spans == "" and got[1].spans == f"jwt:2:{2 + len(token)},jwt:{5 + 2 * len(token)}:{5 + 3 * len(token)}" and time.time() - began < 60
 
 
 def test_near_duplicates_against_brute_force(spark, odd, none):
@@ -138,6 +162,12 @@ def test_decontamination(spark, odd, none):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = find_contamination(table(spark, docs), bench).collect()
     assert {(r.doc_id, r.item_id, r.kind) for r in got} == {(100 + k, k, "copy") for k in range(5)}
+    named = find_contamination(table(spark, docs).selectExpr("concat('d', doc_id) AS doc_id", "text"), bench.selectExpr("concat('i', item_id) AS item_id", "text"), block=3).collect()
+    assert {(r.doc_id, r.item_id) for r in named} == {(f"d{100 + k}", f"i{k}") for k in range(5)}
+    phrases = [(1, "Two plus  two"), (2, "two plus"), (3, "zebra"), (4, ""), (None, "plus two")]
+    texts = [(1, "what is two PLUS two", "s"), (2, "two and plus two", "s"), (3, None, "s"), (4, "zebras", "s"), (5, "zebra zebra", "s"), (6, "two", "s"), (7, "plus two", "s")]
+    got = find_contamination(table(spark, texts), spark.createDataFrame(phrases, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.first_word, r.end_word) for r in got.collect()} == {(1, 1, 2, 5), (1, 2, 2, 4), (1, None, 3, 5), (2, None, 2, 4), (5, 3, 0, 1), (7, None, 0, 2)}
     assert find_contamination(odd, bench).count() == 0 and find_contamination(none, bench).count() == 0 and find_contamination(table(spark, docs), bench.limit(0)).count() == 0
 
 
@@ -157,8 +187,38 @@ def test_tokens(spark, odd, none, tmp_path):
     ids = [*plain.encode("a b c d e f", add_special_tokens=False).ids, 0]
     assert got[1].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes()) and read_document_ids(spark, f"file://{tmp_path}/t", 1).tolist() == ids
     assert tokenize_to_files(none, path).count() == 0
+    with pytest.raises(TypeError, match="doc_id is of type string"):
+        tokenize_to_files(odd.withColumn("doc_id", odd.doc_id.cast("string")), path)
 
 
-def test_pipeline_columns(spark):
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontamination", "mixing", "tokens"]
-    assert corpus_pipeline.ORACLE_SQL is None
+def test_tokens_of_all_documents_are_those_of_the_library(spark, tmp_path):
+    import duckdb
+    from tokenizers import Tokenizer
+
+    path, docs = public_tokenizers.path("byte_bpe_50k.json"), "/root/testdata/sf0.001/documents.parquet"
+    plain, want, start = Tokenizer.from_file(path), [], 0
+    for doc_id, text in duckdb.sql(f"SELECT doc_id, coalesce(text, '') FROM '{docs}' ORDER BY doc_id").fetchall():
+        ids = np.array([*plain.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        want.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    got = tokenize_to_files(spark.read.parquet(docs), path, f"file://{tmp_path}/t", block_ids=5000)
+    assert sorted(map(tuple, got.collect())) == want
+    blocks = spark.read.parquet(f"file://{tmp_path}/t")
+    assert blocks.count() > 20
+    for doc_id, _, n, crc in want[::40]:
+        ids = read_document_ids(spark, f"file://{tmp_path}/t", doc_id)
+        assert len(ids) == n and zlib.crc32(ids.astype("<u4").tobytes()) == crc
+    with pytest.raises(KeyError):
+        read_document_ids(spark, f"file://{tmp_path}/t", -1)
+
+
+def test_encoder_at_every_kind_of_border():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, own, rng = Tokenizer.from_file(path), Encoder(open(path).read()), random.Random(3)
+    bits = [" ", "  ", "\n", "\n\n ", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "a", "Zé", "'s", "'S", "12", "²", "½x", "--", "Ω", "語", "😀", "\0", "_", "<|endoftext|>", "x" * 70]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(4000)]
+    for got, text in zip(own.encode(texts), texts, strict=True):
+        assert got.tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    assert own.encode([]) == [] and [x.tolist() for x in own.encode(["", ""])] == [[], []]
