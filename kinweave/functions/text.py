@@ -1,23 +1,15 @@
-"""Normalisation of names and addresses as Column expressions: no Python runs on the rows."""
+"""Text as Column expressions: folding to ASCII, tokens. Names and addresses are normalised in fields.py."""
 
 from __future__ import annotations
 
-import json
-import unicodedata
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kinweave.functions import tables as t
 
-INDIC = r"[ऀ-෿]"
-ZERO_WIDTH = r"[​-‍﻿]"
-_WEBSITE = r"\|\s*(?:https?://)?(?:www\.)?([a-z0-9\-]+)(?:\.[a-z]{2,4}){1,2}\S*"
-_DOMAIN = r"^#?\s*(?:www\.)?([a-z0-9\-]+)((?:\.[a-z]{2,4}){1,2})?$"
-_OTHER_NAME = (
-    r"\b(?:trading as|doing business as|formerly known as|formerly|t\s*/\s*a|d\s*/\s*b\s*/\s*a|dba|f\s*/\s*k\s*/\s*a|fka|a\s*/\s*k\s*/\s*a|aka)\b\.?"
-)
+INDIC, ZERO_WIDTH = t.INDIC, t.ZERO_WIDTH
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -25,75 +17,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def lookup(token: Column, table: dict[str, str]) -> Column:
-    """The table's value for token, or null.
-
-    The table is one foldable expression, so it is a single literal in the plan; two levels, by first character, keep
-    the search in it short.
-    """
-    by_first: dict[str, dict[str, str]] = {}
-    for k, v in table.items():
-        by_first.setdefault(k[0], {})[k] = v
-    nested = F.from_json(F.lit(json.dumps(by_first)), "map<string,map<string,string>>")
-    return F.try_element_at(F.try_element_at(nested, F.substring(token, 1, 1)), token)
-
-
-def replaced(token: Column, table: dict[str, str]) -> Column:
-    return F.coalesce(lookup(token, table), token)
-
-
 def tokens_of(text: Column) -> Column:
     """Distinct tokens, in order of first appearance; none for the empty string."""
     return F.array_distinct(F.filter(F.split(text, " "), lambda x: x != ""))
 
 
-def all_digits(x: Column) -> Column:
-    return x.rlike("^[0-9]+$")
-
-
-# ---- folding to ASCII -----------------------------------------------------------------------------------------------
-def _latin() -> tuple[str, str, list[tuple[str, str]]]:
-    """Accented letters by their decomposition: single letters for translate(), and those that become several."""
-    one, to, several = "", "", [("ß", "ss"), ("æ", "ae"), ("Æ", "AE"), ("œ", "oe"), ("Œ", "OE"), ("þ", "th"), ("Þ", "Th")]
-    rest = dict(zip("øØđĐłŁħĦðÐıŋŊ–—‘’‚“”„·", "oOdDlLhHdDinN--'''\"\"\"*", strict=True))
-    for code in [*range(0xC0, 0x250), *map(ord, rest)]:
-        c = chr(code)
-        base = rest.get(c) or unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
-        if len(base) == 1:
-            one, to = one + c, to + base
-        elif len(base) > 1 and all(c != x for x, _ in several):
-            several.append((c, base))
-    return one, to, several
-
-
-def _indic_slots() -> list[str]:
-    """Romanisation of the 128 places that the Brahmic blocks share, by the names of the Devanagari characters."""
-    short = {"AA": "a", "II": "i", "UU": "u", "CANDRABINDU": "m", "ANUSVARA": "n", "VISARGA": "h", "CANDRA E": "e", "CANDRA O": "o", "SHORT E": "e", "SHORT O": "o", "VOCALIC R": "r", "VOCALIC L": "l"}
-    slots = []
-    for code in range(0x0900, 0x0980):
-        name = unicodedata.name(chr(code), "")
-        kind, _, rest = name.removeprefix("DEVANAGARI ").partition(" ")
-        if kind == "DIGIT":
-            slots.append(str(unicodedata.digit(chr(code))))
-        elif kind == "SIGN" and rest in short:
-            slots.append(short[rest])
-        elif kind in ("LETTER", "VOWEL") and name:
-            sound = rest.removeprefix("SIGN ")
-            sound = short.get(sound, sound.lower())
-            # Consonants are named with the vowel that they carry.
-            slots.append(sound[:-1] if len(sound) > 1 and sound.endswith("a") and kind == "LETTER" and code >= 0x0915 else sound.split(" ")[0])
-        else:
-            slots.append("")
-    return slots
-
-
-_ONE, _TO, _SEVERAL = _latin()
-_SLOTS = _indic_slots()
-
-
 def romanize(text: Column) -> Column:
     """Brahmic letters by their place in their block, others unchanged. Vowels that consonants carry are not written."""
-    slots = F.split(F.lit(",".join(_SLOTS)), ",")
+    slots = F.split(F.lit(",".join(t.INDIC_SLOTS)), ",")
     return F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.rlike(INDIC), F.element_at(slots, (F.ascii(c) % 128 + 1).cast("int"))).otherwise(c)), "")
 
 
@@ -101,8 +32,8 @@ def fold(text: Column) -> Column:
     """ASCII, lower case; null is empty. Characters without a known spelling are dropped."""
 
     def spelled(x: Column) -> Column:
-        plain = F.translate(x, _ONE, _TO)
-        for c, letters in _SEVERAL:
+        plain = F.translate(x, t.ACCENTED, t.PLAIN)
+        for c, letters in t.SPELLED_OUT:
             plain = F.replace(plain, F.lit(c), F.lit(letters))
         latin = lambda y: F.when(y.rlike(INDIC), romanize(y)).otherwise(y)
         return F.when(x.rlike(r"[^\x00-\x7F]"), F.regexp_replace(let(plain, latin), r"[^\x00-\x7F]", "")).otherwise(x)
@@ -110,149 +41,5 @@ def fold(text: Column) -> Column:
     return F.lower(let(F.coalesce(text, F.lit("")), spelled))
 
 
-# ---- names ----------------------------------------------------------------------------------------------------------
-def repair_token(x: Column) -> Column:
-    """Misread letters: a leading l before most consonants is an i; one or two digits among letters are letters."""
-    digits = F.regexp_count(x, F.lit("[0-9]"))
-    alphabetic = F.when(F.char_length(x) > 2, F.regexp_replace(x, "^l(?=[bcdfgkmnpqrstvwxz])", "i")).otherwise(x)
-    mixed = (digits <= 2) & (F.char_length(x) - digits >= 2) & ~x.rlike(r"^[0-9]+(st|nd|rd|th|er|e|eme|b|a|bis)$")
-    return F.when(digits == 0, alphabetic).when(mixed & (digits < F.char_length(x)), F.translate(x, t.OCR_DIGITS, t.OCR_LETTERS)).otherwise(x)
-
-
-def name_tokens(text: Column) -> Column:
-    """Tokens of a folded name: legal forms joined, words repaired and spelled out, repeats and prefixes gone.
-
-    Legal forms are recognised before letters are repaired, so `ltd` is one.
-    """
-    for pattern, form in t.LEGAL_JOINS:
-        text = F.regexp_replace(text, pattern, form)
-    text = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit(" and ")), F.lit("+"), F.lit(" and ")), F.lit("'"), F.lit(""))
-    raw = F.filter(F.split(text, "[^a-z0-9]+"), lambda x: x != "")
-    spelled = F.transform(raw, lambda x: F.coalesce(lookup(x, t.LEGAL), let(replaced(repair_token(x), t.NAME_ABBREVIATIONS), lambda y: replaced(y, t.LEGAL))))
-    flat = F.flatten(F.transform(spelled, lambda x: F.split(x, " ")))
-    once = let(flat, lambda a: F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1))))
-
-    def without_prefixes(a: Column) -> Column:
-        first = F.array_position(F.transform(a, lambda x: x.isin(t.NAME_PREFIXES)), False).cast("int")
-        return F.when(F.size(a) == 0, a).otherwise(F.slice(a, F.when(first == 0, F.size(a)).otherwise(first), F.greatest(F.size(a), F.lit(1))))
-
-    return let(once, without_prefixes)
-
-
-def core_tokens(tokens: Column) -> Column:
-    """Without legal forms and stop words; without stop words if that leaves nothing; else all."""
-    legal = sorted(set(t.LEGAL.values()))
-    no_stop = F.filter(tokens, lambda x: ~x.isin(t.NAME_STOP))
-    core = F.filter(tokens, lambda x: ~x.isin(t.NAME_STOP) & ~x.isin(legal))
-    return F.when(F.size(core) > 0, core).when(F.size(no_stop) > 0, no_stop).otherwise(tokens)
-
-
-def legal_category(tokens: Column) -> Column:
-    has = lambda x: F.array_contains(tokens, x)
-    out = F.when(has("private") & has("limited"), "pvtltd")
-    for form in t.LEGAL_PRIORITY:
-        out = out.when(has(form), form)
-    return out.when(has("inc") | has("corp"), "inc").when(has("limited"), "ltd").when(has("co"), "co").when(has("private"), "pvt").otherwise("")
-
-
-def normalize_name(raw: Column) -> Column:
-    """struct(nm, core, alt, legal, is_dom) of a name.
-
-    A website after a bar goes to the alternatives; a name that is a domain or starts with # stands for its label. Of
-    the parts around `trading as` and the like, the first with the longest core is the name; the cores of the others,
-    longest first, are alternatives.
-    """
-    started = F.regexp_replace(fold(raw), r"^\s*m\s*/\s*s\b\.?", " ")
-
-    def with_site(text: Column) -> Column:
-        site = F.replace(F.regexp_extract(text, _WEBSITE, 1), F.lit("-"), F.lit(""))
-        return let(F.regexp_replace(text, rf"(?s)^(.*?){_WEBSITE}", "$1 "), lambda rest: let(F.trim(F.btrim(F.trim(rest), F.lit(".,;:*-<>!~ "))), lambda label: with_label(site, rest, label)))
-
-    def with_label(site: Column, text: Column, label: Column) -> Column:
-        is_domain = label.rlike(_DOMAIN) & ~label.contains(" ") & ((F.regexp_extract(label, _DOMAIN, 2) != "") | label.startswith("#"))
-        return let(is_domain, lambda d: in_parts(site, F.when(d, F.replace(F.regexp_extract(label, _DOMAIN, 1), F.lit("-"), F.lit(""))).otherwise(text), d))
-
-    def in_parts(site: Column, text: Column, is_domain: Column) -> Column:
-        parts = let(F.filter(F.split(text, _OTHER_NAME), lambda p: F.trim(p) != ""), lambda a: F.when(F.size(a) > 0, a).otherwise(F.array(F.lit(""))))
-        made = F.transform(parts, lambda p, i: let(name_tokens(p), lambda a: let(core_tokens(a), lambda c: F.struct((-F.size(c)).alias("order"), i.alias("i"), a.alias("tokens"), c.alias("core")))))
-        return let(F.array_sort(made), lambda a: result(site, a, is_domain))
-
-    def result(site: Column, a: Column, is_domain: Column) -> Column:
-        others = F.transform(F.slice(a, 2, F.size(a)), lambda x: F.array_join(x["core"], " "))
-        return let(
-            F.element_at(a, 1),
-            lambda main: F.struct(
-                F.array_join(main["tokens"], " ").alias("nm"), F.array_join(main["core"], " ").alias("core"),
-                F.array_join(F.filter(F.concat(F.array(site), others), lambda x: x != ""), " | ").alias("alt"),
-                legal_category(main["tokens"]).alias("legal"), is_domain.cast("byte").alias("is_dom"),
-            ),
-        )
-
-    return let(started, with_site)
-
-
-# ---- addresses ------------------------------------------------------------------------------------------------------
-def _no_leading_zeros(x: Column) -> Column:
-    return F.regexp_replace(x, "^0+(?=.)", "")
-
-
-def _address_tokens(part: Column) -> Column:
-    """Tokens of one part between commas: numbers without zeros, words abbreviated, mixed ones taken apart."""
-    spelled = lambda x: F.when(all_digits(x), _no_leading_zeros(x)).otherwise(replaced(x, t.ADDRESS_ABBREVIATIONS))
-    word = lambda x: F.when(all_digits(x), _no_leading_zeros(x)).otherwise(let(replaced(x, t.ADDRESS_ABBREVIATIONS), lambda y: replaced(y, t.REGIONS)))
-    number = lambda x: F.coalesce(F.nullif(F.regexp_extract(x, ordinal, 1), F.lit("")), replaced(x, t.NUMBER_WORDS))
-    pieces = lambda x: F.transform(F.regexp_extract_all(x, F.lit("[0-9]+|[a-z]+"), F.lit(0)), spelled)
-    ordinal = r"^([0-9]+)(?:st|nd|rd|th|er|eme|e|re)$"
-    one = lambda x: F.when(x.rlike("[0-9]") & ~all_digits(x) & ~x.rlike(ordinal), pieces(x)).otherwise(F.array(let(number(x), word)))
-    raw = F.filter(F.split(part, "[^a-z0-9]+"), lambda x: x != "")
-    return F.filter(F.flatten(F.transform(raw, one)), lambda x: x != "")
-
-
-def normalize_address(raw: Column) -> Column:
-    """struct(ad, adw, nums, postal, hn) of an address: all tokens, words, other numbers, postal code, house number."""
-    text = F.replace(F.replace(fold(raw), F.lit("<null>"), F.lit(" ")), F.lit("n/a"), F.lit(" "))
-    text = F.regexp_replace(text, r"\b([0-9]{5})-[0-9]{4}\b", "$1")
-    text = F.regexp_replace(text, r"\b([0-9]{3})\s([0-9]{3})\b", "$1$2")
-    for short, spelled in (("c/o", " co "), ("b/h", " bhd "), ("s/o", " so "), ("w/o", " wo ")):
-        text = F.replace(text, F.lit(short), F.lit(spelled))
-    for words in sorted(t.REGIONS_OF_WORDS, key=len, reverse=True):
-        text = F.regexp_replace(text, rf"\b{words}\b", f" {t.REGIONS_OF_WORDS[words]} ")
-
-    def result(parts: Column) -> Column:
-        first_numbers = F.filter(F.transform(parts, lambda p: F.get(F.filter(p, all_digits), 0)), lambda x: x.isNotNull() & (F.char_length(x) <= 5))
-
-        def fields(a: Column) -> Column:
-            numbers = F.filter(a, all_digits)
-            by_length = lambda x, y: F.when(F.char_length(x) != F.char_length(y), F.char_length(x) - F.char_length(y)).when(x < y, -1).when(x > y, 1).otherwise(0)
-            others = F.array_sort(F.array_distinct(F.filter(numbers, lambda x: F.char_length(x) != 6)), by_length)
-            return F.struct(
-                F.array_join(a, " ").alias("ad"), F.array_join(F.filter(a, lambda x: ~all_digits(x)), " ").alias("adw"), F.array_join(others, " ").alias("nums"),
-                F.coalesce(F.element_at(F.concat(F.array(F.lit("")), F.filter(numbers, lambda x: F.char_length(x) == 6)), -1), F.lit("")).alias("postal"),
-                F.coalesce(F.get(first_numbers, 0), F.lit("")).alias("hn"),
-            )
-
-        return let(F.flatten(parts), fields)
-
-    return let(F.transform(F.split(text, ","), _address_tokens), result)
-
-
-# ---- sound ----------------------------------------------------------------------------------------------------------
-def skeleton(x: Column) -> Column:
-    """The consonants a token sounds like, after its first letter."""
-    out = x
-    for a, b in t.SKELETON_RULES:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    out = F.regexp_replace(out, r"(.)\1+", "$1")
-    return F.when((x == "") | all_digits(x), x).otherwise(F.concat(F.substring(out, 1, 1), F.regexp_replace(F.substr(out, F.lit(2)), "[aeiou]", "")))
-
-
-def skeletons(core: Column) -> Column:
-    return F.array_join(F.transform(F.split(core, " "), skeleton), " ")
-
-
 def sorted_tokens(text: Column) -> Column:
     return F.array_join(F.array_sort(F.split(text, " ")), " ")
-
-
-def literal_words(words: Iterable[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])

@@ -39,12 +39,12 @@ def _pairs(items: Column, sep: str) -> Column:
 
 
 def emit_keys(records: DataFrame, frequencies: DataFrame, rare_words: int = 4) -> DataFrame:
-    """(entity_id, country_n, kind, key), distinct. All kinds come from one array per record and one explode.
+    """(entity_id, src, country_n, kind, key), distinct. All kinds come from one array per record and one explode.
 
     n: name tokens, also of alternatives; k: their sound; p: pairs of name tokens; na: name token and rare address
     word; ha: house number and rare word; aa: pairs of rare words; x: the whole name, squashed, and alternatives.
     """
-    rows = records.select("entity_id", "country_n", "core", "alt", "sk", "adw", "hn", "nsp").join(rarest_words(records, frequencies, rare_words), "entity_id", "left")
+    rows = records.select("entity_id", "src", "country_n", "core", "alt", "sk", "adw", "hn", "nsp").join(rarest_words(records, frequencies, rare_words), "entity_id", "left")
     names = _long(tokens_of(F.concat_ws(" ", "core", F.replace("alt", F.lit("|"), F.lit(" ")))), 2)
     rare = F.coalesce("rare", F.array().cast("array<string>"))
     alternatives = F.transform(F.split("alt", r" \| "), lambda x: F.replace(x, F.lit(" "), F.lit("")))
@@ -60,7 +60,7 @@ def emit_keys(records: DataFrame, frequencies: DataFrame, rare_words: int = 4) -
         return F.transform(F.array_distinct(keys), lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
 
     tagged = F.concat(*[tag(kind, keys) for kind, keys in by_kind.items()])
-    return rows.select("entity_id", "country_n", F.explode(tagged).alias("x")).select("entity_id", "country_n", "x.kind", "x.key")
+    return rows.select("entity_id", "src", "country_n", F.explode(tagged).alias("x")).select("entity_id", "src", "country_n", "x.kind", "x.key")
 
 
 def key_weights(s1_keys: DataFrame, s1: DataFrame, max_df: int) -> DataFrame:
@@ -70,23 +70,44 @@ def key_weights(s1_keys: DataFrame, s1: DataFrame, max_df: int) -> DataFrame:
     return frequency.join(sizes, "country_n").select("country_n", "kind", "key", F.ln(1 + F.col("n") / F.col("df")).alias("w"))
 
 
+def _hashed(keys: DataFrame) -> DataFrame:
+    """(entity_id, src, country_n, kind, h): 64 bits for each country, kind and key, which are far cheaper to shuffle and sort."""
+    return keys.select("entity_id", "src", "country_n", "kind", F.xxhash64("country_n", "kind", "key").alias("h"))
+
+
+def s1_index(s1_keys: DataFrame, s1: DataFrame, max_df: int = 300) -> DataFrame:
+    """(h, kind, s1_id, w): the S1 records of every key that at most max_df of them have, and the key's weight in units of 1e-9.
+
+    Whole units, so that sums, and with them scores and ranks, don't depend on the order of summation.
+    """
+    keys = _hashed(s1_keys)
+    frequency = keys.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.first("country_n").alias("country_n")).filter(F.col("df") <= max_df)
+    sizes = s1.groupBy("country_n").agg(F.count(F.lit(1)).alias("n"))
+    units = (F.ln(1 + F.col("n") / F.col("df")).cast("decimal(18,9)") * 1_000_000_000).cast("long")
+    weights = frequency.join(sizes, "country_n").select("h", units.alias("w"))
+    return keys.join(weights, "h").select("h", "kind", F.col("entity_id").alias("s1_id"), "w")
+
+
+def best_of_index(target_keys: DataFrame, index: DataFrame, top_k: int = 10) -> DataFrame:
+    """The top_k S1 records of an s1_index() for each target; see candidates().
+
+    What has met on keys is dealt by target once, for the sums by pair and for the ranks.
+    """
+    met = _hashed(target_keys).select(F.col("entity_id").alias("t_id"), "h").join(index, "h").repartition("t_id")
+    scored = met.groupBy("t_id", "s1_id").agg((F.sum("w") / 1e9).alias("bscore"), F.count(F.lit(1)).alias("nkeys"), *[F.count_if(F.col("kind") == k).alias(f"k_{k}") for k in KINDS])
+    order = Window.partitionBy("t_id").orderBy(F.desc("bscore"), "s1_id")
+    return scored.withColumn("brank", F.row_number().over(order) - 1).filter(F.col("brank") < top_k)
+
+
 def candidates(records: DataFrame, top_k: int = 10, max_df: int = 300, keys: DataFrame | None = None) -> DataFrame:
     """t_id, s1_id, bscore, nkeys, brank, k_<kind>: for each target the top_k S1 records by the weights of shared keys.
 
-    The join meets at most max_df S1 records per key, so its output is bounded by targets * keys * max_df. Weights are
-    rounded to 1e-9 before they are summed as decimals, so scores, and with them ranks, don't depend on the order of
-    summation; ties go to the lesser S1 id.
+    The join meets at most max_df S1 records per key, so its output is bounded by targets * keys * max_df; a key that
+    very many targets have is one that adaptive execution splits, as the other side of it is short. Ties go to the lesser
+    S1 id. keys: as emit_keys() makes them; they are read three times.
     """
     keys = emit_keys(records, address_word_frequencies(records)) if keys is None else keys
-    sources = records.select("entity_id", (F.col("src") == 1).alias("is_s1"))
-    keys = keys.join(sources, "entity_id")
-    s1_keys = keys.filter("is_s1").drop("is_s1")
-    weights = key_weights(s1_keys, records.filter("src = 1"), max_df)
-    weighted = s1_keys.join(weights, ["country_n", "kind", "key"]).withColumn("w", F.col("w").cast("decimal(18,9)"))
-    met = keys.filter("NOT is_s1").select(F.col("entity_id").alias("t_id"), "country_n", "kind", "key").join(weighted.withColumnRenamed("entity_id", "s1_id"), ["country_n", "kind", "key"])
-    scored = met.groupBy("t_id", "s1_id").agg(F.sum("w").cast("double").alias("bscore"), F.count(F.lit(1)).alias("nkeys"), *[F.count_if(F.col("kind") == k).alias(f"k_{k}") for k in KINDS])
-    order = Window.partitionBy("t_id").orderBy(F.desc("bscore"), "s1_id")
-    return scored.withColumn("brank", F.row_number().over(order) - 1).filter(F.col("brank") < top_k)
+    return best_of_index(keys.filter("src <> 1"), s1_index(keys.filter("src = 1"), records.filter("src = 1"), max_df), top_k)
 
 
 def prune(cands: DataFrame, top_k: int = 10, rel_min: float = 0.25) -> DataFrame:

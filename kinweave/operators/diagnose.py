@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.operators.decide import exclusive_best, f_beta, per_s1
+from kinweave.operators.decide import exclusive_best, per_s1, setting_sums
 
 _THRESHOLDS = [round(0.3 + 0.05 * k, 2) for k in range(14)]
 
@@ -38,12 +38,11 @@ def country_scores(scored: DataFrame, top: int = 6) -> DataFrame:
 def threshold_sweep(pairs: DataFrame, truth: DataFrame, s1: DataFrame) -> DataFrame:
     """(t, country_n, f05) for thresholds from 0.3 to 0.95, without the alpha rule."""
     grid = pairs.sparkSession.createDataFrame([(t,) for t in _THRESHOLDS], "t double")
-    true = truth.select("s1_id", F.col("tgt_id").alias("t_id"), F.lit(1).alias("y"))
-    best = exclusive_best(pairs).select("s1_id", "t_id", "p").join(true, ["s1_id", "t_id"], "left")
-    counts = best.join(F.broadcast(grid), F.col("p") >= F.col("t")).groupBy("t", "s1_id").agg(F.count("y").alias("tp"), F.count(F.lit(1)).alias("n_pred"))
-    n_true = s1.join(truth.groupBy("s1_id").agg(F.count(F.lit(1)).alias("n_true")), "s1_id", "left").na.fill(0, ["n_true"])
-    rows = n_true.crossJoin(F.broadcast(grid)).join(counts, ["t", "s1_id"], "left").na.fill(0, ["tp", "n_pred"])
-    return rows.groupBy("t", "country_n").agg(F.avg(f_beta(F.col("tp"), F.col("n_pred"), F.col("n_true"))).alias("f05"))
+    own = s1.select("s1_id", "country_n")
+    sums = setting_sums(exclusive_best(pairs).select("s1_id", "t_id", "p"), own, truth, _THRESHOLDS).drop("alpha")
+    base = own.join(truth.select("s1_id").distinct().withColumn("has", F.lit(True)), "s1_id", "left").groupBy("country_n").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("has").isNull()).alias("single"))
+    rows = base.crossJoin(F.broadcast(grid)).join(sums, ["t", "country_n"], "left")
+    return rows.select("t", "country_n", ((F.coalesce("f", F.lit(0.0)) + F.col("single") - F.coalesce("gone", F.lit(0))) / F.col("n")).alias("f05"))
 
 
 def threshold_table(pairs: DataFrame, truth: DataFrame, s1: DataFrame, countries: list[str]) -> DataFrame:

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions import text as t
+from kinweave.functions.fields import normalize_both
 
 
 def normalize_records(raw: DataFrame, translit: DataFrame | None = None) -> DataFrame:
     """raw with the normalised name (nm, core, alt, legal, is_dom), address (ad, adw, nums, postal, hn) and what follows
-    from them (sk, country_n, nsp, ntok, first, acro, is_indic). One projection: nothing is shuffled.
+    from them (sk, country_n, nsp, ntok, first, acro, is_indic). One pass over the rows: nothing is shuffled.
 
     translit: table of native and latin spellings (see operators.translit), applied before all else.
     """
@@ -20,11 +21,11 @@ def normalize_records(raw: DataFrame, translit: DataFrame | None = None) -> Data
 
         raw = apply_table(apply_table(raw, "business_name", "__name", translit), "business_address", "__address", translit)
         name, address = F.col("__name"), F.col("__address")
-    made = raw.withColumns({"__n": t.normalize_name(name), "__a": t.normalize_address(address)}).select(*raw.columns, "__n.*", "__a.*").drop("__name", "__address")
+    made = raw.withColumn("__r", normalize_both(name, address)).select(*raw.columns, "__r.*").drop("__name", "__address")
     initials = F.array_join(F.regexp_extract_all("core", F.lit(r"\b[a-z]"), F.lit(0)), "")
     return made.withColumns(
         {
-            "sk": t.skeletons(F.col("core")), "country_n": F.lower(F.trim("country")), "nsp": F.replace("core", F.lit(" "), F.lit("")),
+            "country_n": F.lower(F.trim("country")), "nsp": F.replace("core", F.lit(" "), F.lit("")),
             "ntok": F.regexp_count("core", F.lit(r"\S+")).cast("short"), "first": F.regexp_extract("core", r"^(\S+)", 1),
             "acro": F.when(F.char_length(initials) >= 2, initials).otherwise(""), "is_indic": F.col("business_name").rlike(t.INDIC).cast("byte"),
         }

@@ -30,9 +30,7 @@ _REPAIRED = f"""CASE WHEN regexp_full_match(t, '[a-z]+') THEN
     CASE WHEN length(t) > 2 AND regexp_matches(t, '^l[bcdfgkmnpqrstvwxz]') THEN 'i' || t[2:] ELSE t END
   WHEN {_DIGITS} < length(t) AND {_DIGITS} <= 2 AND length(t) - {_DIGITS} >= 2 AND NOT regexp_full_match(t, '[0-9]+(st|nd|rd|th|er|e|eme|b|a|bis)')
     THEN translate(t, '{t.OCR_DIGITS}', '{t.OCR_LETTERS}') ELSE t END"""
-_WEB = r"\|\s*(?:https?://)?(?:www\.)?([a-z0-9\-]+)(?:\.[a-z]{2,4}){1,2}\S*"
-_DOM = r"^#?\s*(?:www\.)?([a-z0-9\-]+)((?:\.[a-z]{2,4}){1,2})?$"
-_DBA = r"\b(?:trading as|doing business as|formerly known as|formerly|t\s*/\s*a|d\s*/\s*b\s*/\s*a|dba|f\s*/\s*k\s*/\s*a|fka|a\s*/\s*k\s*/\s*a|aka)\b\.?"
+_WEB, _DOM, _DBA = t.WEBSITE, t.DOMAIN, t.OTHER_NAME
 _LEGAL_WORDS = sorted(set(t.LEGAL.values()))
 _LEGAL_CASE = (
     "CASE WHEN list_contains(tokens, 'private') AND list_contains(tokens, 'limited') THEN 'pvtltd' "

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions import kernels
-from kinweave.functions.text import normalize_address, normalize_name, skeletons, sorted_tokens
+from kinweave.functions.fields import normalize_address, normalize_name, skeletons
+from kinweave.functions.text import sorted_tokens
 from kinweave.operators import blocking, decide, diagnose, features, matcher, translit
 from kinweave.operators.records import country_codes, fold_of, hash_sample, normalize_records
 from kinweave.plans import linkage
@@ -37,7 +38,8 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cands(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     records = _records(spark, sf_dir)
-    return records, blocking.candidates(records, max_df=_MAX_DF).persist()
+    keys = blocking.emit_keys(records, blocking.address_word_frequencies(records)).persist()
+    return records, blocking.candidates(records, max_df=_MAX_DF, keys=keys).persist()
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -141,7 +143,7 @@ def rare_words_top4(spark, sf_dir):
 def _s1_keys(spark, sf_dir):
     records = _records(spark, sf_dir)
     s1 = records.filter("src = 1")
-    return s1, blocking.emit_keys(records, blocking.address_word_frequencies(records)).join(s1.select("entity_id"), "entity_id", "left_semi")
+    return s1, blocking.emit_keys(records, blocking.address_word_frequencies(records)).filter("src = 1").drop("src")
 
 
 @_query
@@ -391,7 +393,7 @@ def near_duplicate_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select(F.concat(F.lit("D"), F.col("doc_id")).alias("entity_id"), F.col("lang").alias("country_n"), F.when(F.col("doc_id") % 2 == 0, 1).otherwise(2).alias("src"), "text")
     lines = F.array_distinct(F.filter(F.transform(F.split(F.lower("text"), "\n"), F.trim), lambda x: F.char_length(x) >= 20))
-    keys = rows.select("entity_id", "country_n", F.lit("n").alias("kind"), F.explode(lines).alias("key"))
+    keys = rows.select("entity_id", "src", "country_n", F.lit("n").alias("kind"), F.explode(lines).alias("key"))
     return _rounded(blocking.candidates(rows.drop("text"), max_df=_MAX_DF, keys=keys).filter("brank = 0").select("t_id", "s1_id", "bscore", "nkeys"))
 
 

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_keys_of_31_to_300_records_yield_candidates(spark):
     records = spark.createDataFrame([(f"s{k:03}", "us", 1) for k in range(100)] + [("t", "us", 2)], "entity_id string, country_n string, src int")
-    keys = records.select("entity_id", "country_n", F.lit("n").alias("kind"), F.lit("shared").alias("key"))
+    keys = records.select("entity_id", "src", "country_n", F.lit("n").alias("kind"), F.lit("shared").alias("key"))
     assert [r.s1_id for r in blocking.candidates(records, keys=keys).orderBy("brank").collect()] == [f"s{k:03}" for k in range(10)]
     assert blocking.candidates(records, max_df=30, keys=keys).count() == 0
 
