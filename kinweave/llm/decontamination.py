@@ -244,23 +244,25 @@ class WordCounts:
     def sums(self, words: np.ndarray) -> list[np.ndarray]:
         """For each group: marks in all blocks before the k-th, by item."""
         words = np.append(words, np.zeros(-len(words) % _BLOCK, np.uint64))
+        kind = np.int16 if len(words) <= np.iinfo(np.int16).max else np.int32
         out = []
         for shift, row, marks in self.groups:
             at = row[words >> shift]
             block = np.take(marks, at[::_BLOCK], axis=0)
             for k in range(1, _BLOCK):
                 block += np.take(marks, at[k::_BLOCK], axis=0)
-            out.append(np.zeros((len(block) + 1, marks.shape[1]), np.int32))
-            np.cumsum(block, axis=0, dtype=np.int32, out=out[-1][1:])
+            out.append(np.zeros((len(block) + 1, marks.shape[1]), kind))
+            np.cumsum(block, axis=0, dtype=kind, out=out[-1][1:])
         return out
 
     @staticmethod
     def between(sums: list[np.ndarray], low: np.ndarray, high: np.ndarray, item: np.ndarray) -> np.ndarray:
         """No fewer than the words of each item in words[low:high]."""
-        group, own = np.divmod(item, _GROUP)
+        group, own = item // _GROUP, item % _GROUP
         first, last = low // _BLOCK, -(-high // _BLOCK)
         if len(sums) == 1:
-            return sums[0][last, own] - sums[0][first, own]
+            flat, width = sums[0].ravel(), sums[0].shape[1]
+            return flat[last * width + own] - flat[first * width + own]
         out = np.zeros(len(item), np.int32)
         for g, x in enumerate(sums):
             here = np.flatnonzero(group == g)
