@@ -43,7 +43,7 @@ def mine_tokens(pairs: DataFrame, min_count: float = 2, min_share: float = 0.5)
 
 def mine_components(pairs: DataFrame, min_count: float = 3, min_share: float = 0.5) -> DataFrame:
     """(native, latin) of whole address parts between commas: a native part with the latin parts of its matches."""
-    part = lambda c: F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    part = lambda c: F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
     rows = pairs.filter(F.col("native").rlike(INDIC)).select(F.transform(part("native"), lambda x: F.regexp_replace(x, ZERO_WIDTH, "")).alias("a"), F.array_distinct(F.transform(part("latin"), fold)).alias("b"))
     parts = rows.select(F.explode("a").alias("native"), "b").filter(F.col("native").rlike(INDIC))
     seen = parts.groupBy("native").agg(F.count(F.lit(1)).alias("seen"))
@@ -76,4 +76,6 @@ def apply_table(df: DataFrame, column: str, out: str, table: DataFrame, most: in
     whole = lambda part: let(F.trim(part), lambda p: F.when(p.rlike(INDIC), F.coalesce(F.concat(F.lit(" "), known(p)), by_piece(part))).otherwise(part))
     text = F.regexp_replace(F.col(column), ZERO_WIDTH, "")
     spelled = F.when(F.col(column).rlike(INDIC), F.array_join(F.transform(F.split(text, ","), whole), ",")).otherwise(F.col(column))
-    return df.crossJoin(F.broadcast(one)).withColumn(out, spelled).drop("__map")
+    # A generator of one row, not a projection: a Python function of the result couldn't be planned if this expression, which
+    # has lambdas, were merged into its arguments.
+    return df.crossJoin(F.broadcast(one)).select(*[c for c in df.columns if c != out], F.explode(F.array(spelled)).alias(out))

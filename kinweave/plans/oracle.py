@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from kinweave.functions import tables as t
 from kinweave.operators.blocking import KINDS
 from kinweave.sources.fixtures import oracle_ctes
@@ -200,6 +202,44 @@ _KIND_LIST = ", ".join(f"('{k}')" for k in KINDS)
 _LISTED = "SELECT s.entity_id AS source1_entity_id, coalesce(string_agg(x.t_id, ',' ORDER BY x.p DESC, x.t_id), '') AS {0} FROM er_s1 s LEFT JOIN {1} x ON x.s1_id = s.entity_id GROUP BY s.entity_id".format
 _COVER = "CASE WHEN {0}.nsp = '' THEN 0.0 ELSE coalesce(list_sum(list_transform(list_filter(string_split({1}.core, ' '), lambda x: length(x) >= 2 AND contains({0}.nsp, x)), lambda x: length(x))), 0) / length({0}.nsp) END".format
 
+_OVERLAP = """round(o_{0}.ws / greatest(o_{0}.wa + o_{0}.wb - o_{0}.ws, 1e-6), 6) AS {0}_idf_jac, round(o_{0}.ws / greatest(least(o_{0}.wa, o_{0}.wb), 1e-6), 6) AS {0}_idf_min, round(o_{0}.ws / greatest(o_{0}.wa, 1e-6), 6) AS {0}_idf_t,
+round(o_{0}.ws / greatest(o_{0}.wb, 1e-6), 6) AS {0}_idf_s, round(o_{0}.ws, 6) AS {0}_idf_shared, round(o_{0}.wa - o_{0}.ws, 6) + 0.0 AS {0}_idf_unsh_t, round(o_{0}.wb - o_{0}.ws, 6) + 0.0 AS {0}_idf_unsh_s,
+round(o_{0}.top, 6) AS {0}_idf_maxtok_shared, round(o_{0}.most - o_{0}.top, 6) AS {0}_idf_maxtok_miss, o_{0}.ns AS {0}_nshared""".format
+_FREQUENCIES = """
+freqs AS MATERIALIZED (SELECT entity_id, CASE WHEN nsp = '' THEN -1 ELSE count(*) FILTER (WHERE src = 1) OVER n END AS f_nsp1, CASE WHEN nsp = '' THEN -1 ELSE count(*) OVER n END AS f_nspa,
+  CASE WHEN ad = '' THEN -1 ELSE count(*) FILTER (WHERE src = 1) OVER a END AS f_adr1, CASE WHEN ad = '' THEN -1 ELSE count(*) OVER a END AS f_adra
+  FROM recs WINDOW n AS (PARTITION BY country_n, nsp), a AS (PARTITION BY country_n, array_to_string(list_sort(string_split(ad, ' ')), ' ')))"""
+
+
+def _idf_as(column: str, end: str) -> str:
+    """_idf() with names of its own, so that several columns have one each."""
+    return re.sub(r"\b(tok|idf|wt|side|both_sides|ov)\b", rf"\1_{end}", _idf(column))
+
+
+def _jw(column: str) -> str:
+    return f"round(CASE WHEN t.{column} = s.{column} THEN 1.0 WHEN t.{column} = '' OR s.{column} = '' THEN 0.0 ELSE jaro_winkler_similarity(t.{column}, s.{column}) END, 6)"
+
+
+def _with_ratios(upto: str, needed: str, select: str) -> str:
+    """A query with ratio(a, b, v): the indel ratio of the pairs of strings that `needed` selects.
+
+    The longest common subsequence, one character of a at a time: each place of the new row is the greatest, up to there,
+    of the old row's places and, where characters are equal, one more than the place before.
+    """
+    return f"""WITH RECURSIVE {_TO[upto]},
+needed AS MATERIALIZED ({needed}),
+lcs AS (SELECT a, b, 0 AS i, list_transform(range(length(b)), lambda x: 0) AS places FROM (SELECT DISTINCT a, b FROM needed WHERE a <> b AND a <> '' AND b <> '')
+  UNION ALL SELECT a, b, i + 1, list_transform(higher, lambda x, j: list_max(higher[1:j])) FROM (
+    SELECT a, b, i, list_transform(places, lambda x, j: CASE WHEN b[j] = a[i + 1] THEN 1 + CASE WHEN j = 1 THEN 0 ELSE places[j - 1] END ELSE x END) AS higher FROM lcs WHERE i < length(a))),
+ratio AS MATERIALIZED (SELECT DISTINCT n.a, n.b, CASE WHEN n.a = n.b THEN 100.0 ELSE 200.0 * coalesce(l.places[length(l.b)], 0) / (length(n.a) + length(n.b)) END AS v
+  FROM needed n LEFT JOIN lcs l ON l.a = n.a AND l.b = n.b AND l.i = length(l.a))
+{select}"""
+
+
+_SETS = """SELECT t_id, s1_id, list_sort(list_intersect(x, y)) AS c, list_sort(list_filter(x, lambda w: NOT list_contains(y, w))) AS l, list_sort(list_filter(y, lambda w: NOT list_contains(x, w))) AS r
+FROM (SELECT t_id, s1_id, list_distinct(list_filter(string_split(t.core, ' '), lambda w: w <> '')) AS x, list_distinct(list_filter(string_split(s.core, ' '), lambda w: w <> '')) AS y FROM pairs)"""
+_SET_STRINGS = f"SELECT t_id, s1_id, c, l, r, array_to_string(c, ' ') AS common, array_to_string(list_concat(c, l), ' ') AS one, array_to_string(list_concat(c, r), ' ') AS two FROM ({_SETS})"
+
 ORACLE: dict[str, str] = {
     "tsv_truth_explode": _q("raw", "SELECT s1_id, tgt_id FROM er_truth"),
     "norm_name": _q("names", "SELECT * FROM nms"),
@@ -212,6 +252,9 @@ ORACLE: dict[str, str] = {
     "address_literals": "SELECT * FROM (VALUES ('012 Main Street', '12 main st', '12', '', '12'), ('Block 4, MG Road 560 001', 'blk 4 marg rd 560001', '4', '560001', '4'), ('77 Elm Ave, New York 12345-6789', '77 elm av ny 12345', '77 12345', '', '77'), "
     "('2nd Floor 12B Rue X', '2 fl 12 b rue x', '2 12', '', '2'), ('', '', '', '', '')) AS v(address, ad, nums, postal, hn)",
     "translit_token_mining": "SELECT * FROM (VALUES ('राम', 'ram'), ('सेवा', 'seva')) AS v(native, latin)",
+    "translit_fit": "SELECT * FROM (VALUES ('राम', 'ram'), ('सेवा', 'seva'), ('पुणे', 'pune')) AS v(native, latin)",
+    # Words without a learned spelling are written letter by letter, without the vowels that consonants carry.
+    "translit_convert": "SELECT * FROM (VALUES ('राम सेवा (राम)', ' ram seva (ram)'), ('सेवा जय, पुणे', ' seva jy, pune'), ('Shop राम', ' Shop ram'), ('Shop', 'Shop'), ('नमन', ' nmn')) AS v(text, latin)",
     "country_code": _q("recs", "SELECT country_n, CAST(dense_rank() OVER (ORDER BY country_n) - 1 AS INT) AS cc FROM (SELECT DISTINCT country_n FROM recs)"),
     "fold_assign": _q("raw", "SELECT entity_id, CAST('0x' || substr(md5(entity_id), 1, 8) AS BIGINT) % 5 AS fold FROM er_s1"),
     "hash_sample": _q("raw", "SELECT entity_id FROM er_all WHERE CAST('0x' || substr(md5('5:' || entity_id), 1, 8) AS BIGINT) % 1000 < 250"),
@@ -247,12 +290,7 @@ LEFT JOIN er_truth e ON e.s1_id = c.s1_id AND e.tgt_id = c.t_id GROUP BY top_k,
 OR entity_id IN (SELECT entity_id FROM h WHERE src <> 1 AND x < 100 AND entity_id NOT IN (SELECT tgt_id FROM er_truth))""",
         "h AS (SELECT entity_id, src, CAST('0x' || substr(md5(entity_id), 1, 8) AS BIGINT) % 1000 AS x FROM er_all)",
     ),
-    "freq_features": _q(
-        "recs",
-        """SELECT entity_id, CASE WHEN nsp = '' THEN -1 ELSE count(*) FILTER (WHERE src = 1) OVER n END AS f_nsp1, CASE WHEN nsp = '' THEN -1 ELSE count(*) OVER n END AS f_nspa,
-CASE WHEN ad = '' THEN -1 ELSE count(*) FILTER (WHERE src = 1) OVER a END AS f_adr1, CASE WHEN ad = '' THEN -1 ELSE count(*) OVER a END AS f_adra
-FROM recs WINDOW n AS (PARTITION BY country_n, nsp), a AS (PARTITION BY country_n, array_to_string(list_sort(string_split(ad, ' ')), ' '))""",
-    ),
+    "freq_features": _q("recs", "SELECT * FROM freqs", _FREQUENCIES),
     "token_idf": _q("cands", "SELECT country_n, t, round(w, 6) AS w FROM idf", _idf("core")),
     "idf_overlap": _q(
         "cands",
@@ -273,6 +311,26 @@ CAST(t.hn <> '' AND s.hn <> '' AND t.hn <> s.hn AND (starts_with(t.hn, s.hn) OR
     "lev_distance": _q("pairs", "SELECT t_id, s1_id, levenshtein(t.core, s.core) AS n_lev FROM pairs"),
     "token_sort_keys": _q("recs", "SELECT entity_id, array_to_string(list_sort(string_split(core, ' ')), ' ') AS core_srt, array_to_string(list_sort(string_split(adw, ' ')), ' ') AS adw_srt FROM recs"),
     "jaro_winkler": _q("pairs", "SELECT t_id, s1_id, round(CASE WHEN t.core = s.core THEN 1.0 WHEN t.core = '' OR s.core = '' THEN 0.0 ELSE jaro_winkler_similarity(t.core, s.core) END, 6) AS n_jw FROM pairs"),
+    "indel_ratio": _with_ratios("pairs", "SELECT t.core AS a, s.core AS b FROM pairs", "SELECT t_id, s1_id, round(v, 6) AS n_ratio FROM pairs p JOIN ratio ON ratio.a = p.t.core AND ratio.b = p.s.core"),
+    "token_set_ratio": _with_ratios(
+        "pairs",
+        f"SELECT one AS a, two AS b FROM ({_SET_STRINGS}) UNION SELECT common, one FROM ({_SET_STRINGS}) UNION SELECT common, two FROM ({_SET_STRINGS})",
+        f"""SELECT t_id, s1_id, round(CASE WHEN len(c) + len(l) = 0 OR len(c) + len(r) = 0 THEN 0.0 WHEN len(c) > 0 AND (len(l) = 0 OR len(r) = 0) THEN 100.0
+WHEN len(c) > 0 THEN greatest(x.v, y.v, z.v) ELSE x.v END, 6) AS n_tset FROM ({_SET_STRINGS}) p JOIN ratio x ON x.a = one AND x.b = two JOIN ratio y ON y.a = common AND y.b = one JOIN ratio z ON z.a = common AND z.b = two""",
+    ),
+    "pair_features_plain": _q(
+        "pairs",
+        f"""SELECT p.t_id, p.s1_id, levenshtein(t.core, s.core) AS n_lev, {_jw('core')} AS n_jw, {_jw('first')} AS n_first_jw, CAST(t.alt <> '' AS INT) + CAST(s.alt <> '' AS INT) AS n_has_alt, {_TRI('legal', 'n_legal_eq')},
+CAST((t.acro <> '' AND t.acro = s.nsp) OR (s.acro <> '' AND s.acro = t.nsp) AS INT) AS n_acro, t.is_dom + s.is_dom AS n_dom,
+round(CASE WHEN t.is_dom + s.is_dom > 0 THEN greatest({_COVER('t', 's')}, {_COVER('s', 't')}) ELSE 0.0 END, 6) AS n_dom_cover, t.is_indic AS n_indic, length(t.core) AS n_len_t, length(s.core) AS n_len_s,
+t.ntok AS n_ntok_t, s.ntok AS n_ntok_s, CAST(t.ad = '' AS INT) + 2 * CAST(s.ad = '' AS INT) AS a_empty, length(t.ad) AS a_len_t, length(s.ad) AS a_len_s, {_TRI('postal', 'a_postal_eq')}, {_TRI('hn', 'a_hn_eq')},
+CASE WHEN given THEN round(i / u, 6) ELSE 0.0 END AS a_num_jac, CASE WHEN given THEN i ELSE 0 END AS a_num_inter, CASE WHEN given THEN u - i ELSE 0 END AS a_num_conf,
+CAST(t.hn <> '' AND s.hn <> '' AND t.hn <> s.hn AND (starts_with(t.hn, s.hn) OR starts_with(s.hn, t.hn)) AS INT) AS a_hn_prefix, CAST(t.src = 3 AS INT) AS is_s3, {_OVERLAP('n')}, {_OVERLAP('k')}, {_OVERLAP('a')},
+ft.f_nsp1 AS f_nsp1_t, fs.f_nsp1 AS f_nsp1_s, ft.f_nspa AS f_nspa_t, fs.f_nspa AS f_nspa_s, ft.f_adr1 AS f_adr1_t, fs.f_adr1 AS f_adr1_s, ft.f_adra AS f_adra_t, fs.f_adra AS f_adra_s
+FROM (SELECT *, t.nums <> '' AND s.nums <> '' AS given, len(list_intersect({_NUMS('t')}, {_NUMS('s')})) AS i, len(list_distinct(list_concat({_NUMS('t')}, {_NUMS('s')}))) AS u FROM pairs) p
+JOIN ov_n o_n USING (t_id, s1_id) JOIN ov_k o_k USING (t_id, s1_id) JOIN ov_a o_a USING (t_id, s1_id) JOIN freqs ft ON ft.entity_id = p.t_id JOIN freqs fs ON fs.entity_id = p.s1_id""",
+        f"{_idf_as('core', 'n')}, {_idf_as('sk', 'k')}, {_idf_as('adw', 'a')}, {_FREQUENCIES}",
+    ),
     "context_target": _q("cands", _context("t_id", "cxt"), _idf("core")),
     "context_s1": _q("cands", _context("s1_id", "cxs"), _idf("core")),
     "decide_exclusive": _q("cands", "SELECT t_id, s1_id, round(p, 6) AS p FROM chosen"),
@@ -315,6 +373,13 @@ round(sum(1 - f) / (SELECT count(*) FROM per_s1), 6) AS points_lost FROM per_s1
     ),
     "match_lists": _q("cands", _LISTED("matched_entity_ids", "chosen")),
     "candidate_lists": _q("cands", _LISTED("candidate_entity_ids", "preds")),
-    "output_validation": "SELECT 0 AS missing_rows, 0 AS repeated_rows, 0 AS matches_not_candidates, 0 AS shared_targets",
+    "output_validation": _q(
+        "cands",
+        """SELECT (SELECT count(*) FROM er_s1 ANTI JOIN m ON m.source1_entity_id = er_s1.entity_id) AS missing_rows, (SELECT count(*) FROM (SELECT source1_entity_id FROM m GROUP BY source1_entity_id HAVING count(*) > 1)) AS repeated_rows,
+(SELECT count(*) FROM mx ANTI JOIN cx ON cx.s = mx.s AND cx.t = mx.t) AS matches_not_candidates, (SELECT count(*) FROM (SELECT t FROM mx GROUP BY t HAVING count(*) > 1)) AS shared_targets""",
+        f"""m AS MATERIALIZED ({_LISTED("ids", "chosen")}),
+c AS MATERIALIZED ({_LISTED("ids", "preds")}),
+mx AS (SELECT s, t FROM (SELECT source1_entity_id AS s, unnest(string_split(ids, ',')) AS t FROM m) WHERE t <> ''), cx AS (SELECT s, t FROM (SELECT source1_entity_id AS s, unnest(string_split(ids, ',')) AS t FROM c) WHERE t <> '')""",
+    ),
     "near_duplicate_documents": f"WITH {_DOCS}, {_KEY_TABLES}, {_CANDS}\nSELECT t_id, s1_id, round(bscore, 6) AS bscore, nkeys FROM cands WHERE brank = 0",
 }

@@ -22,24 +22,39 @@ _T = 0.3
 _MAX_DF = 30
 
 
+#: What the last query persisted; the next one lets go of it.
+_HELD: list[DataFrame] = []
+
+
 def _query(f: Query) -> Query:
-    _QUERIES[f.__name__] = f
+    def fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+        while _HELD:
+            _HELD.pop().unpersist()
+        return f(spark, sf_dir)
+
+    _QUERIES[f.__name__] = fresh
     return f
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """df persisted until another query begins: what reads it more than once computes it once."""
+    _HELD.append(df.persist())
+    return df
+
+
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[(F.round(c, digits) + 0.0).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised once: everything after reads the persisted records. The same plan is persisted once per session."""
-    return normalize_records(fixtures.all_records(spark, sf_dir)).persist()
+    """Normalised once: everything after reads the persisted records."""
+    return _held(normalize_records(fixtures.all_records(spark, sf_dir)))
 
 
 def _cands(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     records = _records(spark, sf_dir)
-    keys = blocking.emit_keys(records, blocking.address_word_frequencies(records)).persist()
-    return records, blocking.candidates(records, max_df=_MAX_DF, keys=keys).persist()
+    keys = _held(blocking.emit_keys(records, blocking.address_word_frequencies(records)))
+    return records, _held(blocking.candidates(records, max_df=_MAX_DF, keys=keys))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -113,6 +128,24 @@ def translit_token_mining(spark, sf_dir):
     return translit.mine_tokens(spark.createDataFrame(pairs, "native string, latin string"))
 
 
+def _spelled(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Records in two scripts, and the spellings that their true pairs teach."""
+    rows = [("s1", "Ram Seva", "12 Main Road, Pune", 1), ("s2", "Jay Seva", "4 Hill Road, Pune", 1), ("s3", "Ram Traders", "5 Hill Road, Pune", 1), ("t1", "राम सेवा", "12 Main Road, पुणे", 2), ("t2", "जय सेवा", "4 Hill Road, पुणे", 2), ("t3", "राम ट्रेडर्स", "5 Hill Road, पुणे", 2)]
+    records = spark.createDataFrame(rows, "entity_id string, business_name string, business_address string, src int")
+    return records, translit.fit_table(records, spark.createDataFrame([("s1", "t1"), ("s2", "t2"), ("s3", "t3")], "s1_id string, tgt_id string"))
+
+
+@_query
+def translit_fit(spark, sf_dir):
+    return _spelled(spark)[1]
+
+
+@_query
+def translit_convert(spark, sf_dir):
+    texts = spark.createDataFrame([(x,) for x in ("राम सेवा (राम)", "सेवा जय, पुणे", "Shop राम", "Shop", "नमन")], "text string")
+    return translit.apply_table(texts, "text", "latin", _spelled(spark)[1])
+
+
 @_query
 def country_code(spark, sf_dir):
     return country_codes(fixtures.all_records(spark, sf_dir).select(F.lower(F.trim("country")).alias("country_n")))
@@ -273,6 +306,16 @@ def pair_features(spark, sf_dir):
     return _rounded(features.pair_features(blocking.prune(cands), records))
 
 
+@_query
+def pair_features_plain(spark, sf_dir):
+    """The pair features that SQL has functions for; with indel_ratio, token_set_ratio and partial_ratio, all kinds there are."""
+    records, cands = _cands(spark, sf_dir)
+    names = "n_lev n_jw n_first_jw n_has_alt n_legal_eq n_acro n_dom n_dom_cover n_indic n_len_t n_len_s n_ntok_t n_ntok_s a_empty a_len_t a_len_s a_postal_eq a_hn_eq a_num_jac a_num_inter a_num_conf a_hn_prefix is_s3".split()
+    names += [f"{p}_{x}" for p in "nka" for x in "idf_jac idf_min idf_t idf_s idf_shared idf_unsh_t idf_unsh_s idf_maxtok_shared idf_maxtok_miss nshared".split()]
+    names += [f"{c}_{e}" for c in features.FREQUENCIES for e in "ts"]
+    return _rounded(features.pair_features(blocking.prune(cands), records).select("t_id", "s1_id", *names))
+
+
 def _context(spark, sf_dir, group):
     columns = ("bscore", "n_idf_jac", "nkeys")
     rows = _overlapped(spark, sf_dir).select("t_id", "s1_id", "bscore", F.round("n_idf_jac", 9).alias("n_idf_jac"), "nkeys")
@@ -392,7 +435,7 @@ def near_duplicate_documents(spark, sf_dir):
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select(F.concat(F.lit("D"), F.col("doc_id")).alias("entity_id"), F.col("lang").alias("country_n"), F.when(F.col("doc_id") % 2 == 0, 1).otherwise(2).alias("src"), "text")
-    lines = F.array_distinct(F.filter(F.transform(F.split(F.lower("text"), "\n"), F.trim), lambda x: F.char_length(x) >= 20))
+    lines = F.array_distinct(F.filter(F.transform(F.split(F.lower("text"), "\n"), lambda x: F.trim(x)), lambda x: F.char_length(x) >= 20))
     keys = rows.select("entity_id", "src", "country_n", F.lit("n").alias("kind"), F.explode(lines).alias("key"))
     return _rounded(blocking.candidates(rows.drop("text"), max_df=_MAX_DF, keys=keys).filter("brank = 0").select("t_id", "s1_id", "bscore", "nkeys"))
 
