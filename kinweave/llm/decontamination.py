@@ -193,20 +193,24 @@ def common_words(region: list[int], of: tuple[int, dict[int, int]], least: float
 
 
 class WordTable:
-    """Which words which items have, as marks in one table of slots: a mark may be another pair's, none is missing.
+    """Which words which items have, and where in the item, as bits in one table of slots.
 
-    Regions of a text with fewer marked words than an item needs are ruled out for all candidates at once.
+    An item's bits stand for its places, or for equal stretches of it if it has more than 64 words. Pairs of word and item
+    may share a slot; then their bits are united, so none is missing. Regions of a text are ruled out for all candidates at
+    once if fewer words than an item needs have bits, or if the bits of all words cover fewer places of the item.
     """
 
     def __init__(self, items: list[Item]):
         self.salt = np.random.default_rng(66).integers(0, 2**63, len(items), dtype=np.uint64) * np.uint64(2)
         bits = max(12, (32 * sum(len(x.words) for x in items)).bit_length())
-        self.shift, self.marks = np.uint64(64 - bits), np.zeros(1 << bits, bool)
-        for x, salt in zip(items, self.salt, strict=True):
-            self.marks[(x.words + salt) >> self.shift] = True
+        self.shift, self.bits = np.uint64(64 - bits), np.zeros(1 << bits, np.uint64)
+        self.stretch = np.array([-(-len(x.words) // 64) for x in items], np.int64)
+        for x, salt, stretch in zip(items, self.salt, self.stretch.tolist(), strict=True):
+            place = np.uint64(1) << (np.arange(len(x.words)) // stretch).astype(np.uint64)
+            np.bitwise_or.at(self.bits, (x.words + salt) >> self.shift, place)
 
     def at_least(self, words: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray, least: np.ndarray) -> np.ndarray:
-        """Whether words[low:high] may have `least` words of the item; for each candidate. No region is empty."""
+        """Whether words[low:high] may have `least` words of the item, in as many places of it; for each candidate. No region is empty."""
         size = high - low
         ends, out = np.cumsum(size), []
         a = 0
@@ -215,8 +219,9 @@ class WordTable:
             own, before = size[a:b], ends[a:b] - size[a:b]
             before = before - before[0]
             at = np.repeat(low[a:b] - before, own) + np.arange(own.sum())
-            marked = self.marks[(words[at] + np.repeat(self.salt[item[a:b]], own)) >> self.shift]
-            out.append(np.add.reduceat(marked, before, dtype=np.int64) >= least[a:b])
+            found = self.bits[(words[at] + np.repeat(self.salt[item[a:b]], own)) >> self.shift]
+            places = np.bitwise_count(np.bitwise_or.reduceat(found, before)) * self.stretch[item[a:b]]
+            out.append((np.add.reduceat(found != 0, before, dtype=np.int64) >= least[a:b]) & (places >= least[a:b]))
             a = b
         return np.concatenate([*out, np.zeros(0, bool)])
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("pyarrow")
-from kinweave.llm.decontamination import Item, PhraseTable, WordCounts, WordTable, _segment_sums
+from kinweave.llm.decontamination import Item, PhraseTable, WordCounts, WordTable, _segment_sums, common_words
 
 
 def test_segment_sums_are_those_of_reduceat():
@@ -57,3 +57,17 @@ def test_phrases_are_found_where_their_words_follow_one_another():
             if first is not None:
                 want.add((r, int(at[r]) + first, k))
     assert got == want and len(got) > 5
+
+
+def test_word_table_bounds_the_common_subsequence():
+    rng = np.random.default_rng(7)
+    vocabulary = rng.integers(0, 2**63, 60, dtype=np.uint64) * np.uint64(2)
+    items = [Item(k, own, own[-3:]) for k, own in enumerate([rng.choice(vocabulary, int(n)) for n in (5, 20, 64, 65, 150, 300)])]
+    table, words = WordTable(items), rng.choice(vocabulary, 3000)
+    words[100:400] = items[5].words
+    low = rng.integers(0, 2500, 400)
+    high, item = low + rng.integers(1, 400, 400), rng.integers(0, 6, 400)
+    low[0], high[0], item[0] = 100, 400, 5
+    common = np.array([common_words(words[a:b].tolist(), items[k].whole, 0) for a, b, k in zip(low, high, item, strict=True)])
+    assert table.at_least(words, low, high, item, common).all() and common.max() == 300
+    assert not table.at_least(words, low, high, item, np.array([len(items[k].words) for k in item]) + 500).any()
