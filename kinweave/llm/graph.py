@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import cut
+from kinweave.llm.common import cut, discard
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -26,5 +26,6 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        ends = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        last, ends = ends, cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(last)
     return ends.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(ends.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import bounded_batches, cut, salted_lookup, small_enough, text_or_empty, worker_cache
+from kinweave.llm.common import bounded_batches, cut, discard, salted_lookup, small_enough, text_or_empty, worker_cache
 from kinweave.llm.graph import connected_components
 from kinweave.llm.shingles import WordHasher, mix, row_words, shingle_set, text_pieces
 
@@ -116,6 +116,7 @@ def _cross_links(placed: DataFrame, sets: DataFrame, links: DataFrame, labels: D
     # A bucket of two has been decided by its star.
     main = main.filter("labels > 1 AND c > 2").select("key", F.col("top.label").alias("home"))
     near = cut(placed.join(main, "key").select("home", "cid", "label", "n").distinct(), "near")
+    discard(placed)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("d"))
     centres = degree.join(labels, "node").groupBy("label").agg(F.max(F.struct("d", "node")).alias("top")).select(F.col("label").alias("home"), F.col("top.node").alias("centre"))
@@ -124,7 +125,8 @@ def _cross_links(placed: DataFrame, sets: DataFrame, links: DataFrame, labels: D
     rows = salted_lookup(near.join(sets.select("cid", "members"), "cid"), centres, "home", F.col("cid"), "inner", cells=F.size("middle"))
     difference = F.concat(F.array_except("members", "middle"), F.array_except("middle", "members"))
     rows = rows.select("home", "cid", "label", "n", "centre", F.size("middle").cast("long").alias("m"), difference.alias("d")).withColumn("s", F.size("d") * up - F.col("n") * down)
-    rows = cut(rows.withColumn("inner", F.col("s") <= F.col("m") * down), "differences")
+    rows = differences = cut(rows.withColumn("inner", F.col("s") <= F.col("m") * down), "differences")
+    discard(near, centres)
     to_centre = rows.filter(F.col("inner") & (F.col("label") != F.col("home"))).select(F.least("cid", "centre").alias("a"), F.greatest("cid", "centre").alias("b"))
 
     # Only what differences of two components have can be common to a pair that matters.
@@ -154,7 +156,9 @@ def _cross_links(placed: DataFrame, sets: DataFrame, links: DataFrame, labels: D
     pairs = met.select("home", "cid", "cid2").distinct()
     left, right = rows.select("home", "cid", "s", "e"), rows.select("home", F.col("cid").alias("cid2"), F.col("s").alias("s2"), F.col("e").alias("e2"))
     linked = pairs.join(left, ["home", "cid"]).join(right, ["home", "cid2"]).filter(F.size(F.array_intersect("e", "e2")) * (2 * up) >= F.col("s") + F.col("s2"))
-    return to_centre.unionByName(linked.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b"))).distinct()
+    found = cut(to_centre.unionByName(linked.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b"))).distinct(), "cross-links")
+    discard(differences, rows)
+    return found
 
 
 def near_duplicates(
@@ -182,16 +186,21 @@ def near_duplicates(
     """
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    rows = cut(_sketches(texts.select("doc_id", "text", "text_hash"), shingle, collection, depth), "sketches")
-    clash = _clashes(rows)
-    rows = _apart(rows, clash)
+    sketches = cut(_sketches(texts.select("doc_id", "text", "text_hash"), shingle, collection, depth), "sketches")
+    clash = _clashes(sketches)
+    rows = _apart(sketches, clash)
     classes = rows.filter("n > 0").groupBy("cid").agg(
         F.first("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("r"), F.count(F.lit(1)).alias("n_class"), F.first("us").alias("us"), F.first("vs").alias("vs")
     )
-    classes = cut(classes.select("cid", "n", F.col("r.doc_id").alias("rep"), "r.text_hash", "n_class", "us", "vs"), "classes")
-    keys = classes.select("cid", F.explode(F.flatten(F.transform("us", lambda u, i: F.transform(F.col("vs"), lambda v, j: F.xxhash64(u, v, i, j))))).alias("key"))
+    hashed = cut(classes.select("cid", "n", F.col("r.doc_id").alias("rep"), "r.text_hash", "n_class", "us", "vs"), "hashed")
+    # Minhashes are most of what has been written; from here on each table goes when the last that reads it is written.
+    rows = cut(rows.select("doc_id", "text_hash", "n", "cid"), "rows")
+    discard(sketches)
+    keys = hashed.select("cid", F.explode(F.flatten(F.transform("us", lambda u, i: F.transform(F.col("vs"), lambda v, j: F.xxhash64(u, v, i, j))))).alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("in_bucket")).filter("in_bucket > 1").select("key")
-    buckets = cut(keys.join(shared, "key"), "buckets")
+    buckets = shared_buckets = cut(keys.join(shared, "key"), "buckets")
+    classes = cut(hashed.drop("n", "us", "vs"), "classes")
+    discard(hashed)
 
     # One text of each class that shares a bucket: by identifier, and of those without one by the hash of the text.
     wanted = cut(buckets.select("cid").distinct().join(classes.select("cid", F.col("rep").alias("doc_id"), "text_hash"), "cid"), "wanted")
@@ -203,6 +212,7 @@ def near_duplicates(
         chosen = chosen.unionByName(more.dropDuplicates(["text_hash"]).select("text"))
     sets = _apart(_class_sets(chosen, shingle), clash)
     sets = cut(sets.join(wanted.select("cid"), "cid", "left_semi").select("cid", "members").dropDuplicates(["cid"]), "sets")
+    discard(wanted)
     lone = sets.select("cid", F.explode("members").alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.first("cid").alias("cid")).filter("c = 1").groupBy("cid").agg(F.count(F.lit(1)).alias("alone"))
     able = cut(
         sets.select("cid", F.size("members").cast("long").alias("n")).join(lone, "cid", "left")
@@ -211,6 +221,7 @@ def near_duplicates(
         "able",
     )
     buckets = cut(buckets.join(able, "cid"), "able-buckets")
+    discard(shared_buckets, able)
 
     # |intersection| is at most the smaller number of common members; the union is at least the sizes without that.
     most = F.least(F.col("common"), F.col("common2"), F.col("n"), F.col("n2"))
@@ -227,13 +238,15 @@ def near_duplicates(
     links = cut(linked(stars), "star-links")
     labels = connected_components(links)
     placed = cut(buckets.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid")), "placed")
-    links = links.unionByName(cut(_cross_links(placed, sets, links, labels, percent), "cross-links"))
+    discard(buckets)
+    links = links.unionByName(_cross_links(placed, sets, links, labels, percent))
+    discard(sets)
 
     labels = connected_components(links)
     own = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "rep", "n_class", F.coalesce("label", "cid").alias("label"))
     least = cut(own.groupBy("label").agg(F.min("rep").alias("component")), "least")
     found = cut(salted_lookup(own, least, "label", F.col("cid")).select("cid", "n_class", "component"), "components")
-    return salted_lookup(rows.select("doc_id", "text_hash", "n", "cid"), found, "cid", F.xxhash64("doc_id")).select(
+    return salted_lookup(rows, found, "cid", F.xxhash64("doc_id")).select(
         "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), F.coalesce("n_class", F.lit(1)).alias("n_class"),
         F.coalesce("component", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("component", "doc_id")).alias("kept"),
     )

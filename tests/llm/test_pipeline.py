@@ -8,7 +8,8 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 import corpus_pipeline
-from kinweave.llm.common import shared_root, written
+from kinweave.llm.common import cut, shared_root, written
+from kinweave.llm.near_dedup import near_duplicates
 
 #: Columns of documents, and others whose names the stages or operators use inside.
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, gone string, key long, label long, cid string, k int, h int, copies long, size long, node long"
@@ -123,3 +124,15 @@ def test_string_ids_are_refused_before_any_work(spark, folder, tmp_path):
     docs.withColumn("doc_id", docs.doc_id.cast("string")).write.parquet(f"{tmp_path}/documents.parquet")
     with pytest.raises(TypeError, match="doc_id is of type string"):
         corpus_pipeline.run(spark, str(tmp_path))
+
+
+def test_tables_and_shuffle_files_go_when_read(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"g{k // 4}w{j}" for j in range(60)) + f" end{k}", "s") for k in range(40)], "doc_id long, text string, source string")
+    shuffled = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").count("/shuffle_")
+    before, files = set(written()), shuffled()
+    cut(docs.groupBy("source", "doc_id").count(), "counts")
+    assert shuffled() <= files
+    found = near_duplicates(docs)
+    left = {x.rsplit("/", 1)[1].rsplit("-", 1)[0].removeprefix("kinweave-") for x in written() if x not in before}
+    assert not left & {"sketches", "hashed", "buckets", "wanted", "able", "able-buckets", "placed", "sets", "near", "centres", "differences", "prefixes"}
+    assert found.filter("kept").count() == 10
