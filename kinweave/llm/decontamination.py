@@ -28,7 +28,7 @@ _BLOCK, _GROUP = 8, 256
 
 
 def _hasher() -> WordHasher:
-    cache = worker_cache()
+    cache = worker_cache("decontamination")
     if not hasattr(cache, "hasher"):
         cache.hasher = WordHasher()
     return cache.hasher

@@ -20,7 +20,7 @@ _PIECE = 1 << 18
 
 def _letters() -> np.ndarray:
     """For each code point whether it is a letter; kept by the worker."""
-    cache = worker_cache()
+    cache = worker_cache("language")
     if not hasattr(cache, "letters"):
         cache.letters = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
     return cache.letters

@@ -15,7 +15,7 @@ from kinweave.llm.shingles import WordHasher, mix, row_words, shingle_set, text_
 
 
 def _hasher() -> WordHasher:
-    cache = worker_cache()
+    cache = worker_cache("near_dedup")
     if not hasattr(cache, "hasher"):
         cache.hasher = WordHasher()
     return cache.hasher

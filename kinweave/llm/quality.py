@@ -45,7 +45,7 @@ def _statistics(data: np.ndarray, words: np.ndarray, buckets: int) -> np.ndarray
 
 def _features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(indices, values) of each text, whole."""
-    cache = worker_cache()
+    cache = worker_cache("quality")
     if not hasattr(cache, "hasher"):
         cache.hasher = WordHasher()
     for first, end, data, offsets in text_pieces(column):

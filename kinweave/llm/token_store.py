@@ -200,7 +200,7 @@ class Encoder:
 
 
 def _encoder(tokenizer_json: str) -> Encoder:
-    cache, key = worker_cache(), hash(tokenizer_json)
+    cache, key = worker_cache("tokenizer"), hash(tokenizer_json)
     if getattr(cache, "encoder_key", None) != key:
         cache.encoder, cache.encoder_key = Encoder(tokenizer_json), key
     return cache.encoder
@@ -290,6 +290,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     shards = cut(sizes.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start")), "shards")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("token files")  # lets go of the tokenizer
         for batch in batches:
             for at, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 block = Block(payload.as_py())

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -126,6 +127,30 @@ def test_string_ids_are_refused_before_any_work(spark, folder, tmp_path):
         corpus_pipeline.run(spark, str(tmp_path))
 
 
+def _probe(spark):
+    """What the Python workers keep, by worker."""
+
+    def look(batches):
+        import os
+        import sys
+
+        for batch in batches:
+            kept = sorted(vars(sys.modules["_kinweave_worker_cache"])) if "_kinweave_worker_cache" in sys.modules else []
+            yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "kept": [" ".join(kept)]})
+
+    return {r.pid: r.kept.split() for r in spark.range(0, 16, 1, 16).mapInArrow(look, "pid long, kept string").collect()}
+
+
+def test_workers_let_go_of_the_tokenizer(spark):
+    docs = spark.createDataFrame([(k, f"word{k} and word{k + 1}", "s") for k in range(40)], "doc_id long, text string, source string").repartition(4)
+    assert corpus_pipeline.tokens(spark, docs, "").count() == 40
+    assert len(corpus_pipeline.tokens(spark, docs, "").collect()) == 40
+    near_duplicates(docs).collect()
+    kept = _probe(spark)
+    assert any("hasher" in x for x in kept.values())
+    assert not any("encoder" in x and "hasher" in x for x in kept.values())
+
+
 def test_tables_and_shuffle_files_go_when_read(spark):
     docs = spark.createDataFrame([(k, " ".join(f"g{k // 4}w{j}" for j in range(60)) + f" end{k}", "s") for k in range(40)], "doc_id long, text string, source string")
     shuffled = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").count("/shuffle_")
